@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, personal_data, quality_rules, shard_tree
+from . import line_dedup, ngram_join, personal_data, quality_rules, shard_tree
 from .sql import ORACLE
 
 
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_personal_data, op6_shard_tree, op8_line_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_ngram_join, op5_personal_data, op6_shard_tree, op8_line_dedup, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

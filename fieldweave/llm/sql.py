@@ -45,4 +45,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped
 FROM j GROUP BY doc_id
 """
 
-ORACLE = {"op8_line_dedup": OP8, "op9_quality_rules": OP9}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS gram FROM w, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM s a JOIN s b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 75 * (x.n + y.n - both_n)
+),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS m FROM r GROUP BY a),
+f AS (SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(c.m, d.doc_id)) AS component_id, array_to_string(list_sort(list(s.gram)), chr(10)) AS grams
+  FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id) LEFT JOIN c ON c.a = d.doc_id GROUP BY ALL)
+SELECT doc_id, n_shingles::BIGINT AS n_shingles, component_id,
+  CASE WHEN n_shingles > 0 THEN min(doc_id) OVER (PARTITION BY grams) ELSE doc_id END AS class_id
+FROM f
+"""
+
+ORACLE = {"op2_ngram_join": OP2, "op8_line_dedup": OP8, "op9_quality_rules": OP9}
