@@ -34,12 +34,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .scratch import Scratch, partitions, small
+from .linking import PERCENT, blocks, linked_components
+from .scratch import Scratch, small
 from .shingles import common, mix, shingle_sets
 
-#: A link: 100 * intersection >= PERCENT * union.
-PERCENT = 75
 #: Documents that make an n-gram widespread, and the most such n-grams that are ordered by
 #: count (the rest go by hash: the order is a matter of speed, any order gives all links).
 HOT_DOCS, HOT_MOST = 48, 400_000
@@ -129,38 +127,7 @@ def _prefixes(hot: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 def _frame(docs: list, rows: list) -> pd.DataFrame:
     d = np.array(docs, dtype=np.int64)
-    return pd.DataFrame({"gram": np.concatenate(rows).view(np.int64), "doc_id": np.repeat(d[:, 0], d[:, 2]), "n": np.repeat(d[:, 1], d[:, 2]).astype(np.int32)})
-
-
-def _sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (gram, n, doc_id): those of grams in two rows or more, each with its
-    pivot, the first row of the gram that is within the size bound. The last row of a batch
-    waits for the next one, which tells whether its gram goes on."""
-    pivot, wait, wait_new = (None, 0, 0), None, True
-
-    def given(rows: list[tuple[int, int, int]]) -> pd.DataFrame:
-        nonlocal pivot
-        pivots = []
-        for g, d, n in rows:
-            if pivot[0] != g or 100 * pivot[2] < PERCENT * n:
-                pivot = (g, d, n)
-            pivots.append(pivot[1])
-        return pd.DataFrame(rows, columns=["gram", "doc_id", "n"]).assign(pivot=pivots)
-
-    for batch in batches:
-        columns = [batch[c].to_numpy(np.int64) for c in ("gram", "doc_id", "n")]
-        if wait is not None:
-            columns = [np.concatenate([[x], c]) for x, c in zip(wait, columns, strict=True)]
-        grams = columns[0]
-        if not len(grams):
-            continue
-        new = np.concatenate([[wait_new if wait is not None else True], grams[1:] != grams[:-1]])
-        keep = np.flatnonzero(~new[:-1] | ~new[1:])
-        wait, wait_new = tuple(int(c[-1]) for c in columns), bool(new[-1])
-        if len(keep):
-            yield given(list(zip(*(c[keep].tolist() for c in columns), strict=True)))
-    if wait is not None and not wait_new:
-        yield given([wait])
+    return pd.DataFrame({"key": np.concatenate(rows).view(np.int64), "node": np.repeat(d[:, 0], d[:, 2]), "n": np.repeat(d[:, 1], d[:, 2]).astype(np.int32)})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,46 +172,23 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     grams = hot["gram"].to_numpy(np.int64).view(_U)
     order = np.argsort(grams)
-    shared = spark.sparkContext.broadcast((grams[order], hot["rank"].to_numpy(np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((grams[order], hot["rank"].to_numpy(np.int64)[order]))
 
     # The product's rows: one text of each class, dealt by n-gram.
     distinct = members.where("n > 0 and doc_id <> class_id").select("doc_id").distinct()
     copies = small(distinct, distinct.count(), BROADCAST_ROWS)
-    rows = texts.join(copies, "doc_id", "left_anti").mapInPandas(_prefixes(shared), "gram long, doc_id long, n int")
-    blocks = rows.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "n", "doc_id")
-    postings = scratch.keep(blocks.mapInPandas(_sweep, "gram long, doc_id long, n int, pivot long"), "postings")
-
-    counts = postings.where("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("shared"))
-    best = counts.groupBy("doc_id").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
-    first = scratch.keep(best.select(F.least("doc_id", "pivot").alias("a"), F.greatest("doc_id", "pivot").alias("b")).distinct(), "pairs")
+    rows = texts.join(copies, "doc_id", "left_anti").mapInPandas(_prefixes(frequent), "key long, node long, n int")
+    shared = blocks(rows, scratch)
 
-    involved = postings.select("doc_id").distinct()
+    involved = shared.select(F.col("node").alias("doc_id")).distinct()
     n_involved = involved.count()
     wanted = small(involved, n_involved, BROADCAST_ROWS)
     sets = scratch.keep(texts.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, grams binary"), "sets")
     if sets.count() > n_involved:  # rows that repeat a doc_id
         sets = sets.dropDuplicates(["doc_id"])
 
-    tried = scratch.keep(_verify(first, sets), "tried")
-    links = tried.where("linked").select("a", "b")
-    found = scratch.keep(components(links, scratch), "components")
-
-    # Blocks that hold several components give the pairs across them.
-    at = postings.select("gram", "doc_id", "n").join(found, F.col("doc_id") == F.col("node"), "left")
-    at = at.select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    several = at.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gram")
-    left = scratch.keep(at.join(several, "gram", "left_semi"), "several")
-    x, y = left.alias("x"), left.alias("y")
-    across = (
-        x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.c") != F.col("y.c"))
-               & (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n")))
-        .select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    )
-    more = scratch.keep(_verify(across, sets), "more")
-    if more.where("linked").head(1):
-        links = links.union(more.where("linked").select("a", "b"))
-        found = scratch.keep(components(links, scratch), "components")
-    scratch.free(survey, postings, sets, left)
+    found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch)
+    scratch.free(survey, shared, sets)
     return (
         members.join(found, F.col("class_id") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
