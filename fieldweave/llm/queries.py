@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, ngram_join, personal_data, quality_rules, shard_tree
+from . import contamination, line_dedup, ngram_join, passages, personal_data, quality_rules, shard_tree
 from .sql import ORACLE
 
 
@@ -18,6 +18,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.digest(table(spark, sf_dir, "documents"))
 
@@ -34,8 +38,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_join, op5_personal_data, op6_shard_tree, op8_line_dedup, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_ngram_join, op4_substring_dedup, op5_personal_data, op6_shard_tree, op8_line_dedup, op9_quality_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

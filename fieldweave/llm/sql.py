@@ -66,4 +66,17 @@ SELECT doc_id, n_shingles::BIGINT AS n_shingles, component_id,
 FROM f
 """
 
-ORACLE = {"op2_ngram_join": OP2, "op8_line_dedup": OP8, "op9_quality_rules": OP9}
+OP10 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(5, len(w)) AS m, array_to_string(w[i:i + 4], ' ') AS gram FROM b, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
+s AS (
+  SELECT DISTINCT doc_id, m, array_to_string(w[i:i + m - 1], ' ') AS gram
+  FROM d, (SELECT DISTINCT m FROM q) AS ms, unnest(range(1, len(w) - m + 2)) AS u(i)
+)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count(*) / any_value(n_item) AS containment
+FROM q JOIN s USING (m, gram) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n_item)
+"""
+
+ORACLE = {"op10_decontamination": OP10, "op2_ngram_join": OP2, "op8_line_dedup": OP8, "op9_quality_rules": OP9}
