@@ -1,7 +1,7 @@
 """Candidate pairs from blocks, verified until no link between components is missing.
 
-A block holds the nodes that share a key. Its rows, in order of size, are swept against a
-pivot: linear in the block, whatever its size. Verified links join into components, and
+A block holds the nodes that share a key. Its rows are swept against a pivot: linear in
+the block, whatever its size. Verified links join into components, and
 the blocks that still hold several components give the pairs across them, which are
 verified too. A pair inside a component is never formed.
 """
@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -22,23 +22,33 @@ from .scratch import Scratch, partitions
 PERCENT = 75
 
 
-def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, n, node): those of keys with two rows or more, each with its
-    pivot, the first row of the key that is within the size bound. The last row of a batch
-    waits for the next one, which tells whether its key goes on."""
-    pivot, wait, wait_new = (None, 0, 0), None, True
+#: Star rounds before the pairs across components.
+ROUNDS = 4
+
 
-    def given(rows: list[tuple[int, int, int]]) -> pd.DataFrame:
+def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (key, node, n, c) grouped by key: those of keys with two rows or more, each with
+    its key's pivot, the first row of the key. A row whose size rules a link to the pivot
+    out, or that is of the pivot's component c, is given as its own pivot. The last row of a
+    batch waits for the next one, which tells whether its key goes on."""
+    names = ("key", "node", "n", "c")
+    pivot, wait, wait_new = (None, 0, 0, 0), None, True
+
+    def given(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:
         nonlocal pivot
         pivots = []
-        for key, node, n in rows:
-            if pivot[0] != key or 100 * pivot[2] < PERCENT * n:
-                pivot = (key, node, n)
-            pivots.append(pivot[1])
-        return pd.DataFrame(rows, columns=["key", "node", "n"]).assign(pivot=pivots)
+        for row in rows:
+            key, node, n, c = row
+            if pivot[0] != key:
+                pivot = row
+            apart = pivot[3] != c and 100 * pivot[2] >= PERCENT * n and 100 * n >= PERCENT * pivot[2]
+            pivots.append((pivot[1], pivot[2]) if apart else (node, n))
+        out = pd.DataFrame(rows, columns=names)
+        out[["pivot", "pivot_n"]] = pivots
+        return out
 
     for batch in batches:
-        columns = [batch[c].to_numpy(np.int64) for c in ("key", "node", "n")]
+        columns = [batch[c].to_numpy(np.int64) for c in names]
         if wait is not None:
             columns = [np.concatenate([[x], c]) for x, c in zip(wait, columns, strict=True)]
         keys = columns[0]
@@ -53,38 +63,74 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield given([wait])
 
 
+def _swept(rows: DataFrame, turn: int) -> DataFrame:
+    """``rows`` swept in an order of nodes that each turn draws anew, alike for all keys."""
+    dealt = rows.select("key", "node", "n", "c", F.xxhash64(F.lit(turn), F.col("node")).alias("_at")).repartition(partitions(rows.sparkSession), "key")
+    return dealt.sortWithinPartitions("key", "_at", "node").drop("_at").mapInPandas(sweep, "key long, node long, n int, c long, pivot long, pivot_n int")
+
+
 def blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows (key, node, n) of keys that several rows share, with their pivots."""
-    dealt = rows.select("key", "node", "n").repartition(partitions(scratch.spark), "key").sortWithinPartitions("key", "n", "node")
-    return scratch.keep(dealt.mapInPandas(sweep, "key long, node long, n int, pivot long"), "blocks")
+    return scratch.keep(_swept(rows.withColumn("c", F.col("node")), 0).drop("c"), "blocks")
 
 
-def linked_components(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+Enough = Callable[[Column, Column, Column], Column]
+
+
+def linked_components(
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, enough: Enough = lambda keys, n, m: F.lit(True)
+) -> DataFrame:
     """(node, component) of every node with a link.
 
     ``shared`` comes from ``blocks``; ``verify`` adds ``linked`` to pairs (a, b), a < b.
-    Each node is first compared with the pivot it shares most keys with.
+    ``enough`` (of the number of keys that a pair shares, and its sizes) is false only for
+    pairs that cannot be linked. In each of some rounds a node is compared with the pivot
+    of another component that it shares most keys with. Those counts are of some keys
+    only, so what they rule out is left to the pairs across components, whose counts are
+    whole; the rounds make those pairs few, and leave out none.
     """
-    counts = shared.where("node <> pivot").groupBy("node", "pivot").agg(F.count("*").alias("n_keys"))
-    best = counts.groupBy("node").agg(F.max_by("pivot", F.struct("n_keys", "pivot")).alias("pivot"))
-    first = best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    tried = scratch.keep(verify(first), "tried")
-    links = tried.where("linked").select("a", "b")
-    found = scratch.keep(components(links, scratch), "components")
+    stars, left, tried, links, found = shared, None, None, None, None
+    for turn in range(1, ROUNDS + 1):
+        counts = stars.where("node <> pivot").groupBy("node", "pivot", "n", "pivot_n").agg(F.count("*").alias("keys"))
+        best = (
+            counts.where(enough(F.col("keys"), F.col("n"), F.col("pivot_n")))
+            .groupBy("node").agg(F.max_by("pivot", F.struct("keys", "pivot")).alias("pivot"))
+        )
+        pairs = best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        new = scratch.keep(verify(scratch.keep(pairs, "pairs")), "tried")
+        tried = new if tried is None else tried.union(new)
+        n_new, n_linked = new.agg(F.count("*"), F.count_if("linked")).first()
+        if turn == 1 or n_linked:
+            links = tried.where("linked").select("a", "b")
+            found = scratch.keep(components(links, scratch), "components")
+            apart = scratch.keep(_apart(shared, found), "apart")
+            if left is not None:
+                scratch.free(left)
+            left = apart
+        if turn == ROUNDS or 20 * n_linked <= n_new:
+            break
+        stars = _swept(left, turn)
 
-    labels = found.select(F.col("node").alias("_node"), "component")
-    at = shared.select("key", "node", "n").join(labels, F.col("node") == F.col("_node"), "left")
-    at = at.select("key", "node", "n", F.coalesce("component", "node").alias("c")).distinct()
-    several = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = scratch.keep(at.join(several, "key", "left_semi"), "several")
     x, y = left.alias("x"), left.alias("y")
     near = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n"))
     across = (
         x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near)
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("keys"))
+        .where(enough(F.col("keys"), F.col("n"), F.col("m"))).select("a", "b").join(tried, ["a", "b"], "left_anti")
     )
-    more = scratch.keep(verify(across), "more")
+    more = scratch.keep(verify(scratch.keep(across, "across")), "more")
     if more.where("linked").head(1):
         found = scratch.keep(components(links.union(more.where("linked").select("a", "b")), scratch), "components")
     scratch.free(left, more)
     return found
+
+
+def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of keys that hold several components, with their component c."""
+    labels = found.select(F.col("node").alias("_node"), "component")
+    at = shared.select("key", "node", "n").join(labels, F.col("node") == F.col("_node"), "left")
+    at = at.select("key", "node", "n", F.coalesce("component", "node").alias("c")).distinct()
+    several = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    return at.join(several, "key", "left_semi")

@@ -9,11 +9,11 @@ of n-grams (rows dealt by n-gram hash). Size-derived bounds discard most of it u
   documents hold last (by log2 of their counted documents), so widespread passages stay out;
 * sizes must satisfy min >= t max.
 
-A block of an n-gram is swept in order of size and multiplies each row with the block's
-pivot only, which accumulates counts for (pivot, document) pairs: linear in the block.
-Each document is compared with its best pivot, links join into components, and then the
-blocks that still hold several components give the pairs across components; these are
-compared too. Pairs inside a component need no comparison, so large groups of copies never
+A block of an n-gram multiplies each row with the block's pivot only, which accumulates
+counts for (pivot, document) pairs: linear in the block. Each document is compared with
+its best pivot, links join into components, and in some rounds new pivots are drawn. The
+blocks that then still hold several components give the pairs across them, with whole
+counts; those that reach the size-derived bound are compared too. Pairs inside a component need no comparison, so large groups of copies never
 expand into pairs, and no link between components is lost.
 
 Documents with equal shingle sets form a class known by its least doc_id; the join runs
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import PERCENT, blocks, linked_components
@@ -40,7 +40,7 @@ from .shingles import common, mix, shingle_sets
 
 #: Documents that make an n-gram widespread, and the most such n-grams that are ordered by
 #: count (the rest go by hash: the order is a matter of speed, any order gives all links).
-HOT_DOCS, HOT_MOST = 48, 400_000
+HOT_DOCS, HOT_MOST = 8, 1_000_000
 #: n-grams that are counted together in a task.
 COUNT_CHUNK = 1 << 21
 #: Rows up to which a table of ids is broadcast.
@@ -67,7 +67,7 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def frequent() -> pd.DataFrame:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= 3
+        often = counts >= 2
         return pd.DataFrame({"doc_id": None, "n": None, "fa": None, "fb": None, "gram": values[often].view(np.int64), "docs": counts[often].astype(np.int64)})
 
     for batch in batches:
@@ -147,8 +147,21 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["a", "b", "linked"])
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def enough(keys: Column, n: Column, m: Column) -> Column:
+    """Whether documents of ``n`` and ``m`` n-grams that share ``keys`` of their prefixes can
+    be linked. Up to where the first of the prefixes ends all common n-grams are counted,
+    and after it that document has need - 1 left; a link takes PERCENT of the union."""
+    need = F.ceil(F.greatest(n, m) * F.lit(PERCENT) / F.lit(100))
+    return F.lit(100 + PERCENT) * (keys + need - 1) >= F.lit(PERCENT) * (n + m)
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``pairs`` (a, b) with ``linked``, from the overlap of their whole sets."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    n = involved.count()
+    sets = scratch.keep(texts.join(small(involved, n, BROADCAST_ROWS), "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, grams binary"), "sets")
+    if sets.count() > n:  # rows that repeat a doc_id
+        sets = sets.dropDuplicates(["doc_id"])
     x = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_overlaps, "a long, b long, linked boolean")
@@ -180,15 +193,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = texts.join(copies, "doc_id", "left_anti").mapInPandas(_prefixes(frequent), "key long, node long, n int")
     shared = blocks(rows, scratch)
 
-    involved = shared.select(F.col("node").alias("doc_id")).distinct()
-    n_involved = involved.count()
-    wanted = small(involved, n_involved, BROADCAST_ROWS)
-    sets = scratch.keep(texts.join(wanted, "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, grams binary"), "sets")
-    if sets.count() > n_involved:  # rows that repeat a doc_id
-        sets = sets.dropDuplicates(["doc_id"])
-
-    found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch)
-    scratch.free(survey, shared, sets)
+    found = linked_components(shared, lambda pairs: _verify(pairs, texts, scratch), scratch, enough)
+    scratch.free(survey, shared)
     return (
         members.join(found, F.col("class_id") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
