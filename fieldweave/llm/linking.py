@@ -27,7 +27,7 @@ ROUNDS = 4
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, node, n, c) grouped by key: those of keys with two rows or more, each with
+    """Rows (key, node, n, c) grouped by key: those of keys with two nodes or more, each with
     its key's pivot, the first row of the key. A row whose size rules a link to the pivot
     out, or that is of the pivot's component c, is given as its own pivot. The last row of a
     batch waits for the next one, which tells whether its key goes on."""
@@ -54,6 +54,9 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = columns[0]
         if not len(keys):
             continue
+        again = np.concatenate([[False], (keys[1:] == keys[:-1]) & (columns[1][1:] == columns[1][:-1])])
+        columns = [c[~again] for c in columns]
+        keys = columns[0]
         new = np.concatenate([[wait_new if wait is not None else True], keys[1:] != keys[:-1]])
         keep = np.flatnonzero(~new[:-1] | ~new[1:])
         wait, wait_new = tuple(int(c[-1]) for c in columns), bool(new[-1])
@@ -65,13 +68,19 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _swept(rows: DataFrame, turn: int) -> DataFrame:
     """``rows`` swept in an order of nodes that each turn draws anew, alike for all keys."""
-    dealt = rows.select("key", "node", "n", "c", F.xxhash64(F.lit(turn), F.col("node")).alias("_at")).repartition(partitions(rows.sparkSession), "key")
-    return dealt.sortWithinPartitions("key", "_at", "node").drop("_at").mapInPandas(sweep, "key long, node long, n int, c long, pivot long, pivot_n int")
+    dealt = rows.repartition(partitions(rows.sparkSession), "key").withColumn("_at", F.xxhash64(F.lit(turn), F.col("node")))
+    if "c" not in rows.columns:
+        dealt = dealt.withColumn("c", F.col("node"))
+    return (
+        dealt.sortWithinPartitions("key", "_at", "node").select("key", "node", "n", "c")
+        .mapInPandas(sweep, "key long, node long, n int, c long, pivot long, pivot_n int")
+    )
 
 
 def blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows (key, node, n) of keys that several rows share, with their pivots."""
-    return scratch.keep(_swept(rows.withColumn("c", F.col("node")), 0).drop("c"), "blocks")
+    """The rows (key, node, n) of keys that several nodes share, with their pivots; rows that
+    repeat a node in a key count once."""
+    return scratch.keep(_swept(rows.select("key", "node", "n"), 0).drop("c"), "blocks")
 
 
 Enough = Callable[[Column, Column, Column], Column]

@@ -29,7 +29,7 @@ from .linking import PERCENT, blocks, linked_components
 from .scratch import Scratch, small
 from .shingles import K, chunks, common, mix, shingle_hashes, stream, word_hashes
 
-WINDOW, MIN_WORDS, MIN_RUN = 20, 8, 20
+WINDOW, MIN_WORDS, MIN_RUN = 14, 6, 18
 RECALL, ROWS = 0.98, 2
 BROADCAST_ROWS = 2_000_000
 
@@ -111,30 +111,32 @@ def _fingerprints(run: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every paragraph: doc_id, ordinal, word range, set's fingerprint and size, band keys."""
-    columns = ["doc_id", "part", "start", "end", "node", "n", "bands"]
+    """Every paragraph: doc_id, ordinal, word range, and its set's fingerprint."""
     for batch in batches:
-        ids = batch["doc_id"].to_numpy()
-        held: list[tuple] = []
-        count = 0
+        ids, held = batch["doc_id"].to_numpy(), []
         for i, which, starts, ends, own in paragraphs(batch["text"].tolist()):
+            prints, _ = _fingerprints(*_shingled(own, starts, ends))
+            held.append((np.full(len(which), ids[i]), which, starts, ends, prints.view(np.int64)))
+        if held:
+            yield pd.DataFrame(dict(zip(["doc_id", "part", "start", "end", "node"], map(np.concatenate, zip(*held, strict=True)), strict=True)))
+
+
+def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, node, n): each paragraph's set with the keys of its bands, once for a batch."""
+    for batch in batches:
+        held = []
+        for _, _, starts, ends, own in paragraphs(batch["text"].tolist()):
             run, offset = _shingled(own, starts, ends)
             prints, sizes = _fingerprints(run, offset)
             with np.errstate(over="ignore"):
-                least = [np.minimum.reduceat(run * f, offset) for f in _FACTORS]
-                keys = np.stack([mix(sum((least[b * ROWS + r] * _FACTORS[r] for r in range(ROWS)), np.zeros(len(offset), _U)) + _BAND[b]) for b in range(BANDS)], axis=1)
-            held.append((np.full(len(which), ids[i]), which, starts, ends, prints.view(np.int64), sizes, keys.view(np.int64)))
-            count += len(which)
-            if count >= 50_000:
-                yield _joined(held, columns)
-                held, count = [], 0
+                least = [np.minimum.reduceat(run * f, offset) * f for f in _FACTORS]
+                keys = [mix(sum(least[b * ROWS : (b + 1) * ROWS], np.zeros(len(offset), _U)) + _BAND[b]) for b in range(BANDS)]
+            held.append((prints, sizes, *keys))
         if held:
-            yield _joined(held, columns)
-
-
-def _joined(held: list[tuple], columns: list[str]) -> pd.DataFrame:
-    flat = [np.concatenate(c) for c in zip(*held, strict=True)]
-    return pd.DataFrame(dict(zip(columns, [*flat[:-1], list(flat[-1])], strict=True)))
+            prints, sizes, *keys = map(np.concatenate, zip(*held, strict=True))
+            prints, first = np.unique(prints, return_index=True)
+            for key in keys:
+                yield pd.DataFrame({"key": key[first].view(np.int64), "node": prints.view(np.int64), "n": sizes[first].astype(np.int32)})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +159,18 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["a", "b", "linked"])
 
 
+def _verify(pairs: DataFrame, texts: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``; each set is taken from the least document that holds it."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = small(involved, involved.count(), BROADCAST_ROWS)
+    homes = scratch.keep(parts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "homes")
+    source = texts.join(small(homes, homes.count(), BROADCAST_ROWS), "doc_id", "left_semi")
+    sets = scratch.keep(source.mapInPandas(_sets, "node long, grams binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    x = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_overlaps, "a long, b long, linked boolean")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, n_words, cluster_id, n_docs, removed) of repeated passages.
 
@@ -167,38 +181,24 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "passages")
     texts = docs.select("doc_id", "text")
     parts = scratch.keep(
-        texts.mapInPandas(_parts, "doc_id long, part int, start int, end int, node long, n int, bands array<long>").where("doc_id is not null"), "parts"
+        texts.mapInPandas(_parts, "doc_id long, part int, start int, end int, node long").where("doc_id is not null"), "parts"
     )
-    # A set that several documents hold is one row of a block, not one for each of them.
-    nodes = parts.groupBy("node").agg(F.min(F.struct("doc_id", "part")).alias("at"), F.max("doc_id").alias("most"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = scratch.keep(nodes.select("node", F.col("at.doc_id").alias("doc_id"), (F.col("most") > F.col("at.doc_id")).alias("repeats"), "n", "bands"), "nodes")
-    shared = blocks(nodes.select(F.explode("bands").alias("key"), "node", "n"), scratch)
-
-    involved = shared.select("node").distinct()
-    held = nodes.select("node", "doc_id").join(involved, "node", "left_semi")
-    homes = held.select("doc_id").distinct()
-    source = texts.join(small(homes, homes.count(), BROADCAST_ROWS), "doc_id", "left_semi")
-    sets = scratch.keep(source.mapInPandas(_sets, "node long, grams binary").join(involved, "node", "left_semi").dropDuplicates(["node"]), "sets")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        x = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-        return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_overlaps, "a long, b long, linked boolean")
-
-    found = linked_components(shared, verify, scratch)
-    alone = nodes.where("repeats").select("node", F.col("node").alias("component"))
-    labels = found.union(alone.join(found, "node", "left_anti"))
-    members = scratch.keep(parts.select("doc_id", "part", "start", "end", "node").join(labels, "node"), "members")
-    clusters = (
-        members.groupBy("component", "doc_id").agg(F.lit(1).alias("one")).groupBy("component")
-        .agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("keeper")).where("n_docs > 1")
-    )
-    flagged = members.join(clusters, "component").select(
-        "doc_id", "part", "start", "end", F.col("component").alias("cluster_id"), "n_docs", (F.col("doc_id") != F.col("keeper")).alias("removed")
+    shared = blocks(texts.where("doc_id is not null").mapInPandas(_bands, "key long, node long, n int"), scratch)
+    found = linked_components(shared, lambda pairs: _verify(pairs, texts, parts, scratch), scratch)
+
+    labels = small(found, found.count(), BROADCAST_ROWS).withColumnRenamed("node", "_node")
+    labelled = parts.join(labels, F.col("node") == F.col("_node"), "left").select(
+        "doc_id", "start", "end", F.coalesce("component", "node").alias("cluster_id")
+    )
+    several = labelled.groupBy("cluster_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).where("keeper < most")
+    members = scratch.keep(labelled.join(several.select("cluster_id", "keeper"), "cluster_id"), "members")
+    sizes = members.groupBy("cluster_id", "doc_id").agg(F.lit(1).alias("one")).groupBy("cluster_id").agg(F.count("*").alias("n_docs"))
+    flagged = members.join(sizes, "cluster_id").select(
+        "doc_id", "start", "end", "cluster_id", "n_docs", (F.col("doc_id") != F.col("keeper")).alias("removed")
     ).distinct()
-    # Runs of a document: the next flagged paragraph begins within MIN_WORDS of the last one's end.
+    # Runs of a document: the next flagged paragraph begins within WINDOW words of the last one's end.
     order = Window.partitionBy("doc_id", "removed").orderBy("start")
-    broken = flagged.withColumn("fresh", F.when(F.col("start") - F.lag("end").over(order) <= MIN_WORDS, 0).otherwise(1))
+    broken = flagged.withColumn("fresh", F.when(F.col("start") - F.lag("end").over(order) <= WINDOW, 0).otherwise(1))
     runs = broken.withColumn("run", F.sum("fresh").over(order)).groupBy("doc_id", "removed", "run").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("cluster_id", "start").alias("cluster_id"), F.min_by("n_docs", "start").alias("n_docs")
     )
