@@ -67,16 +67,26 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _swept(rows: DataFrame, turn: int) -> DataFrame:
-    """``rows`` swept in an order of nodes that each turn draws anew, alike for all keys."""
+    """``rows`` swept in an order of nodes that is alike for all keys: the most ``central``
+    first if that column is there, else in an order that each turn draws anew."""
+    at = [F.col("central").desc()] if "central" in rows.columns else []
     dealt = rows.repartition(partitions(rows.sparkSession), "key").withColumn("_at", F.xxhash64(F.lit(turn), F.col("node")))
     if "c" not in rows.columns:
         dealt = dealt.withColumn("c", F.col("node"))
     return (
-        dealt.sortWithinPartitions("key", "_at", "node").select("key", "node", "n", "c")
+        dealt.sortWithinPartitions("key", *at, "_at", "node").select("key", "node", "n", "c")
         .mapInPandas(sweep, "key long, node long, n int, c long, pivot long, pivot_n int")
     )
 
 
+def _central(left: DataFrame) -> DataFrame:
+    """``left`` with ``central``, the rows that a node meets over all its keys: the source of
+    a group of near copies meets most, and more of the group is linked to it than to others."""
+    sizes = left.groupBy("key").agg(F.count("*").alias("size"))
+    of_node = left.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("central"))
+    return left.join(of_node, "node")
+
+
 def blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows (key, node, n) of keys that several nodes share, with their pivots; rows that
     repeat a node in a key count once."""
@@ -120,7 +130,7 @@ def linked_components(
             left = apart
         if turn == ROUNDS or 20 * n_linked <= n_new:
             break
-        stars = _swept(left, turn)
+        stars = _swept(_central(left) if turn % 2 else left, turn)
 
     x, y = left.alias("x"), left.alias("y")
     near = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n"))
