@@ -235,7 +235,7 @@ def label_texts(model: Model, texts: list[str | None]) -> Iterator[tuple[int, np
 
 def _predict(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model: Model = shared.value
+        model = Model(*shared.value)
         for batch in batches:
             texts = batch["text"].tolist()
             label, score = ["und"] * len(texts), np.zeros(len(texts))
@@ -269,7 +269,8 @@ def predict(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFram
     """``keep`` columns with ``lang_pred`` and ``score``."""
     rows = docs.select(*keep, "text")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), "lang_pred string", "score double"])
-    return rows.mapInPandas(_predict(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    parts = (model.labels, model.grams, model.lexicon, model.words, model.transitions, model.start)
+    return rows.mapInPandas(_predict(docs.sparkSession.sparkContext.broadcast(parts)), schema)
 
 
 def held_out() -> Column:

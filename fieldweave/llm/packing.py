@@ -88,7 +88,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(vocabulary: Broadcast, capacity: int, with_ids: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, task, ranks = Encoder(vocabulary.value), TaskContext.get().partitionId(), {}
+        encoder, task, ranks = Encoder(Vocabulary(*vocabulary.value)), TaskContext.get().partitionId(), {}
         columns = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", *["ids"] * with_ids]
         for batch in batches:
             rows, size = [], 0
@@ -110,7 +110,8 @@ def _pieces(vocabulary: Broadcast, capacity: int, with_ids: bool) -> Callable[[I
 def token_pieces(docs: DataFrame, vocabulary: Vocabulary | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, rank[, ids]) of every piece; ``rank``
     numbers the pieces of a length in a task, so the table must be written before it is used."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary or public_vocabulary())
+    v = vocabulary or public_vocabulary()
+    shared = docs.sparkSession.sparkContext.broadcast((v.tokenizer, v.ranks, v.pattern))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInPandas(_pieces(shared, capacity, with_ids), schema)
 
