@@ -27,21 +27,21 @@ ROUNDS = 4
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, node, n, c) grouped by key: those of keys with two nodes or more, each with
+    """Rows (key, node, n, pos, c) grouped by key: those of keys with two nodes or more, each with
     its key's pivot, the first row of the key. A row whose size rules a link to the pivot
     out, or that is of the pivot's component c, is given as its own pivot. The last row of a
     batch waits for the next one, which tells whether its key goes on."""
-    names = ("key", "node", "n", "c")
-    pivot, wait, wait_new = (None, 0, 0, 0), None, True
+    names = ("key", "node", "n", "pos", "c")
+    pivot, wait, wait_new = (None, 0, 0, 0, 0), None, True
 
-    def given(rows: list[tuple[int, int, int, int]]) -> pd.DataFrame:
+    def given(rows: list[tuple[int, int, int, int, int]]) -> pd.DataFrame:
         nonlocal pivot
         pivots = []
         for row in rows:
-            key, node, n, c = row
+            key, node, n, _, c = row
             if pivot[0] != key:
                 pivot = row
-            apart = pivot[3] != c and 100 * pivot[2] >= PERCENT * n and 100 * n >= PERCENT * pivot[2]
+            apart = pivot[4] != c and 100 * pivot[2] >= PERCENT * n and 100 * n >= PERCENT * pivot[2]
             pivots.append((pivot[1], pivot[2]) if apart else (node, n))
         out = pd.DataFrame(rows, columns=names)
         out[["pivot", "pivot_n"]] = pivots
@@ -73,9 +73,11 @@ def _swept(rows: DataFrame, turn: int) -> DataFrame:
     dealt = rows.repartition(partitions(rows.sparkSession), "key").withColumn("_at", F.xxhash64(F.lit(turn), F.col("node")))
     if "c" not in rows.columns:
         dealt = dealt.withColumn("c", F.col("node"))
+    if "pos" not in rows.columns:
+        dealt = dealt.withColumn("pos", F.lit(0))
     return (
-        dealt.sortWithinPartitions("key", *at, "_at", "node").select("key", "node", "n", "c")
-        .mapInPandas(sweep, "key long, node long, n int, c long, pivot long, pivot_n int")
+        dealt.sortWithinPartitions("key", *at, "_at", "node").select("key", "node", "n", "pos", "c")
+        .mapInPandas(sweep, "key long, node long, n int, pos int, c long, pivot long, pivot_n int")
     )
 
 
@@ -88,9 +90,10 @@ def _central(left: DataFrame) -> DataFrame:
 
 
 def blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows (key, node, n) of keys that several nodes share, with their pivots; rows that
-    repeat a node in a key count once."""
-    return scratch.keep(_swept(rows.select("key", "node", "n"), 0).drop("c"), "blocks")
+    """The rows (key, node, n, pos) of keys that several nodes share, with their pivots; rows
+    that repeat a node in a key count once. ``pos`` is 0, or, where keys are elements in one
+    order for all nodes, the key's place among the node's n."""
+    return scratch.keep(_swept(rows, 0).drop("c"), "blocks")
 
 
 Enough = Callable[[Column, Column, Column], Column]
@@ -103,10 +106,10 @@ def linked_components(
 
     ``shared`` comes from ``blocks``; ``verify`` adds ``linked`` to pairs (a, b), a < b.
     ``enough`` (of the number of keys that a pair shares, and its sizes) is false only for
-    pairs that cannot be linked. In each of some rounds a node is compared with the pivot
-    of another component that it shares most keys with. Those counts are of some keys
-    only, so what they rule out is left to the pairs across components, whose counts are
-    whole; the rounds make those pairs few, and leave out none.
+    pairs that cannot be linked if those are all their keys. In each of some rounds a node
+    is compared with the pivot of another component that it shares most keys with. The
+    counts are of some keys only, so what they rule out is left to the pairs across
+    components; the rounds make those pairs few, and leave out none.
     """
     stars, left, tried, links, found = shared, None, None, None, None
     for turn in range(1, ROUNDS + 1):
@@ -133,11 +136,13 @@ def linked_components(
         stars = _swept(_central(left) if turn % 2 else left, turn)
 
     x, y = left.alias("x"), left.alias("y")
+    size = F.lit(PERCENT) * (F.col("x.n") + F.col("y.n"))
     near = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n"))
+    # From their first common element on, both nodes have the whole overlap of a link left.
+    ample = ((100 + PERCENT) * (F.col("x.n") - F.col("x.pos")) >= size) & ((100 + PERCENT) * (F.col("y.n") - F.col("y.pos")) >= size)
     across = (
-        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near)
-        .groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(F.count("*").alias("keys"))
-        .where(enough(F.col("keys"), F.col("n"), F.col("m"))).select("a", "b").join(tried, ["a", "b"], "left_anti")
+        x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.c") != F.col("y.c")) & near & ample)
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     )
     more = scratch.keep(verify(scratch.keep(across, "across")), "more")
     if more.where("linked").head(1):
@@ -149,7 +154,7 @@ def linked_components(
 def _apart(shared: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of keys that hold several components, with their component c."""
     labels = found.select(F.col("node").alias("_node"), "component")
-    at = shared.select("key", "node", "n").join(labels, F.col("node") == F.col("_node"), "left")
-    at = at.select("key", "node", "n", F.coalesce("component", "node").alias("c")).distinct()
+    at = shared.select("key", "node", "n", "pos").join(labels, F.col("node") == F.col("_node"), "left")
+    at = at.select("key", "node", "n", "pos", F.coalesce("component", "node").alias("c"))
     several = at.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
     return at.join(several, "key", "left_semi")

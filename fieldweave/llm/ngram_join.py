@@ -12,8 +12,9 @@ of n-grams (rows dealt by n-gram hash). Size-derived bounds discard most of it u
 A block of an n-gram multiplies each row with the block's pivot only, which accumulates
 counts for (pivot, document) pairs: linear in the block. Each document is compared with
 its best pivot, links join into components, and in some rounds new pivots are drawn. The
-blocks that then still hold several components give the pairs across them, with whole
-counts; those that reach the size-derived bound are compared too. Pairs inside a component need no comparison, so large groups of copies never
+blocks that then still hold several components give the pairs across them; a pair whose
+remaining n-grams could no longer reach the overlap of a link is discarded, the others are
+compared too. Pairs inside a component need no comparison, so large groups of copies never
 expand into pairs, and no link between components is lost.
 
 Documents with equal shingle sets form a class known by its least doc_id; the join runs
@@ -127,7 +128,7 @@ def _prefixes(hot: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
 
 def _frame(docs: list, rows: list) -> pd.DataFrame:
     d = np.array(docs, dtype=np.int64)
-    return pd.DataFrame({"key": np.concatenate(rows).view(np.int64), "node": np.repeat(d[:, 0], d[:, 2]), "n": np.repeat(d[:, 1], d[:, 2]).astype(np.int32)})
+    return pd.DataFrame({"key": np.concatenate(rows).view(np.int64), "node": np.repeat(d[:, 0], d[:, 2]), "n": np.repeat(d[:, 1], d[:, 2]).astype(np.int32), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in d[:, 2]])})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -190,7 +191,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # The product's rows: one text of each class, dealt by n-gram.
     distinct = members.where("n > 0 and doc_id <> class_id").select("doc_id").distinct()
     copies = small(distinct, distinct.count(), BROADCAST_ROWS)
-    rows = texts.join(copies, "doc_id", "left_anti").mapInPandas(_prefixes(frequent), "key long, node long, n int")
+    rows = texts.join(copies, "doc_id", "left_anti").mapInPandas(_prefixes(frequent), "key long, node long, n int, pos int")
     shared = blocks(rows, scratch)
 
     found = linked_components(shared, lambda pairs: _verify(pairs, texts, scratch), scratch, enough)
