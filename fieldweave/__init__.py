@@ -1 +1,11 @@
-"""Column correspondence between data dictionaries, as Spark plans."""
+"""Column correspondence between data dictionaries, as Spark plans.
+
+The package's functions travel to the Python workers by value, so executors need no copy
+of the repository.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
