@@ -202,5 +202,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with the least doc_id of each component only, and one row of a repeated one."""
+    scratch = Scratch(docs.sparkSession, "one-of-each")
+    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
+    kept = scratch.keep(first, "kept")
+    n, n_ids = kept.agg(F.count("*"), F.countDistinct("doc_id")).first()
+    ids = kept.distinct() if n > n_ids else kept
+    out = docs.join(small(ids, n_ids, BROADCAST_ROWS), "doc_id", "left_semi").select(docs.columns)
+    return out.dropDuplicates(["doc_id"]) if n > n_ids else out
+
+
 def digest(docs: DataFrame) -> DataFrame:
     return jaccard_components(docs)

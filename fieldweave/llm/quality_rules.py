@@ -89,8 +89,9 @@ def repeat_words(w: Column) -> Column:
     return let(w, of)
 
 
-def measure(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of measurements for each document."""
+def measure(docs: DataFrame, text: str = "text", id_col: str = "doc_id", whole: bool = False) -> DataFrame:
+    """One row of measurements for each document; ``whole`` carries its input row in ``_row``."""
+    carried = [F.struct(*docs.columns).alias("_row")] if whole else []
     t = F.coalesce(F.col(text), F.lit(""))
     worded = F.filter(lines(F.col(text)), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
     return docs.select(
@@ -101,6 +102,7 @@ def measure(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
         n_of(t, SYMBOLS).cast("long").alias("n_symbols"),
         n_of(t, UPPER).cast("long").alias("n_upper"),
         n_of(t, "!").cast("long").alias("n_exclaim"),
+        *carried,
     ).select(
         "doc_id",
         F.col("_w.n").alias("n_words"),
@@ -111,6 +113,7 @@ def measure(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Data
         F.col("_l.n").alias("n_lines"),
         "n_upper",
         "n_exclaim",
+        *(["_row"] if whole else []),
     )
 
 
@@ -145,13 +148,13 @@ BASE_POLICY = Policy("base-1", BASE)
 POLICY = Policy("full-1", tuple(BIT))
 
 
-def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def ledger(docs: DataFrame, text: str = "text", id_col: str = "doc_id", whole: bool = False) -> DataFrame:
     """Measurements with ``fail_bits``, bit k set where rule k failed."""
     bits = None
     for name, fails in RULES:
         bit = F.when(F.expr(fails), F.lit(BIT[name])).otherwise(F.lit(0)).cast("long")
         bits = bit if bits is None else bits.bitwiseOR(bit)
-    return measure(docs, text, id_col).withColumn("fail_bits", bits)
+    return measure(docs, text, id_col, whole).withColumn("fail_bits", bits)
 
 
 def apply_policy(entries: DataFrame, policy: Policy = POLICY) -> DataFrame:
@@ -159,6 +162,11 @@ def apply_policy(entries: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return entries.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(policy.mask)) == 0)
 
 
+def filter_documents(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
+    """The rows of ``docs`` that the policy keeps."""
+    return apply_policy(ledger(docs, whole=True), policy).where("kept").select("_row.*")
+
+
 def ablations(entries: DataFrame, policy: Policy = POLICY) -> DataFrame:
     """For each rule of the policy: documents failing it, failing it alone (those a policy
     without it would keep besides), and what that policy keeps. The ledger is first counted
