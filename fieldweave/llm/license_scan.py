@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import SPACE, ascii_lower, let, lines
+from .text import let, lines
 
 UNKNOWN = "unknown"
 #: The notices of each family.
@@ -161,17 +161,17 @@ def _found(words: Column, template: tuple[str, ...]) -> Column:
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """(row, paragraph, words) of the lines that hold an anchor; ``docs`` has ``row``, ``text``."""
-    lowered = ascii_lower(F.col("text"))
+    """(row, paragraph, words) of the lines that hold an anchor, once for a repeated row;
+    ``docs`` has ``row`` and ``text``."""
 
     def anchored(x: Column) -> Column:
-        out = F.lit(False)
-        for a in ANCHORS:
-            out = out | x.contains(a)
-        return out
+        return functools.reduce(lambda a, b: a | b, (x.contains(a) for a in ANCHORS))
 
-    each = docs.where(anchored(lowered)).select("row", F.posexplode(lines(lowered)).alias("paragraph", "line"))
-    return each.where(anchored(F.col("line"))).select("row", "paragraph", F.regexp_extract_all("line", F.lit(_JAVA_WORD), F.lit(1)).alias("words"))
+    # Texts are lowered once, and the few that hold an anchor are cut into lines.
+    some = docs.where(let(F.lower(F.coalesce("text", F.lit(""))), anchored))
+    each = some.select("row", F.posexplode(lines(F.lower("text"))).alias("paragraph", "line"))
+    found = each.where(let(F.col("line"), anchored)).dropDuplicates(["row", "paragraph"])
+    return found.select("row", "paragraph", F.regexp_extract_all("line", F.lit(_JAVA_WORD), F.lit(1)).alias("words"))
 
 
 def classify(found: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row for each document: its best confirmed family, and what was found."""
     row = F.struct(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     rows = docs.select(row.alias("row"), "text")
-    found = classify(proposals(rows.dropDuplicates(["row"])))
+    found = classify(proposals(rows))
     best = F.struct("confirmed", F.col("probability").alias("p"), F.col("family").alias("f"), F.col("containment").alias("c"))
     of_row = found.where(F.col("family") != UNKNOWN).groupBy("row").agg(
         F.max(best).alias("best"), F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))).alias("families"), F.count("*").alias("n_notices")
