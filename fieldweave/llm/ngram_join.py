@@ -65,11 +65,13 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Size and fingerprint of each document's set, and the n-grams frequent in the task's
     chunks: one that many documents hold stands out in some chunk."""
     held, n_held, seen = [], 0, set()
+    columns = ["doc_id", "n", "fa", "fb", "gram", "docs"]
 
     def frequent() -> pd.DataFrame:
         values, counts = np.unique(np.concatenate(held), return_counts=True)
         often = counts >= 2
-        return pd.DataFrame({"doc_id": None, "n": None, "fa": None, "fb": None, "gram": values[often].view(np.int64), "docs": counts[often].astype(np.int64)})
+        out = pd.DataFrame({"gram": values[often].view(np.int64), "docs": counts[often].astype(np.int64)})
+        return out.reindex(columns=columns)
 
     for batch in batches:
         rows = []
@@ -80,11 +82,11 @@ def _survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen.add(fa)
                 held.append(s)
                 n_held += len(s)
-        n, fa, fb = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "n": pd.array(n, "Int64"), "fa": pd.array(fa, "Int64"), "fb": pd.array(fb, "Int64"), "gram": None, "docs": None})
-        if n_held >= COUNT_CHUNK:
-            yield frequent()
-            held, n_held, seen = [], 0, set()
+                if n_held >= COUNT_CHUNK:
+                    yield frequent()
+                    held, n_held, seen = [], 0, set()
+        out = pd.DataFrame(rows, columns=["n", "fa", "fb"], dtype="Int64").assign(doc_id=batch["doc_id"].to_numpy())
+        yield out.reindex(columns=columns)
     if held:
         yield frequent()
 
