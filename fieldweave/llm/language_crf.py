@@ -111,7 +111,7 @@ def forward_backward(scores: np.ndarray, fresh: np.ndarray, transitions: np.ndar
     padded = np.ones((nb * block, m))
     padded[:n] = e
     e = padded.reshape(nb, block, m)
-    restart = np.zeros(nb * block, bool)
+    restart = np.ones(nb * block, bool)  # what fills the last block is apart from the words
     restart[:n] = fresh
     restart = restart.reshape(nb, block)
 

@@ -69,9 +69,9 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE IF EXISTS {run._table}")
         self.scratch.free(run)
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Take a batch of (doc_id, k1, k2); the run made of it, with ``is_new`` where no
-        earlier batch held the line."""
+    def add(self, batch: DataFrame) -> tuple[int, int]:
+        """Take a batch of (doc_id, k1, k2): counted by line, merge-anti-joined with the runs
+        there are, and added as one. Gives its lines, and those that no earlier batch held."""
         counts = (
             batch.groupBy(*K, "doc_id").agg(F.lit(1).alias("one"))
             .groupBy(*K).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
@@ -80,13 +80,13 @@ class LineRuns:
         unseen = run
         for earlier in self.levels.values():
             unseen = unseen.join(earlier.hint("merge"), K, "left_anti")
-        flagged = run.join(unseen.select(*K, F.lit(True).alias("is_new")).hint("merge"), K, "left").withColumn("is_new", F.coalesce("is_new", F.lit(False)))
-        level, merged = 0, run
+        n, n_new = run.count(), unseen.count()
+        level = 0
         while level in self.levels:
-            merged = self._merge(self.levels.pop(level), merged)
+            run = self._merge(self.levels.pop(level), run)
             level += 1
-        self.levels[level] = merged
-        return flagged
+        self.levels[level] = run
+        return n, n_new
 
     def _merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
         x, y = a.alias("x"), b.hint("merge").alias("y")
