@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small
+from ..sources.shared import Scratch, small
 from .shingles import CHUNK, K, chunks, common, shingle_hashes, shingle_sets, stream, word_hashes
 
 #: Shared shingles that make an item contained, of a hundred.

@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, partitions
+from ..sources.shared import Scratch, partitions
 from .text import SPACE_CHARS, ascii_lower, let, lines
 
 K = ["k1", "k2"]

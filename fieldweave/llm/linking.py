@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import Scratch, partitions
+from ..sources.shared import Scratch, partitions
 
 #: A link: 100 * intersection >= PERCENT * union; sizes then differ by no more either.
 PERCENT = 75

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import PERCENT, blocks, linked_components
-from .scratch import Scratch, small
+from ..sources.shared import Scratch, small
 from .shingles import common, mix, shingle_sets
 
 #: Documents that make an n-gram widespread, and the most such n-grams that are ordered by

@@ -36,7 +36,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small
+from ..sources.shared import Scratch, small
 
 CAPACITY, SEPARATOR = 2048, 0
 VOCABULARY = "byte_bpe_50k"

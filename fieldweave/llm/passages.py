@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linking import PERCENT, blocks, linked_components
-from .scratch import Scratch, small
+from ..sources.shared import Scratch, small
 from .shingles import K, chunks, common, mix, shingle_hashes, stream, word_hashes
 
 WINDOW, MIN_WORDS, MIN_RUN = 14, 6, 18

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import partitions, small
+from ..sources.shared import partitions, small
 from .text import let
 
 REGION_SHARDS, RACK_SHARDS = 8, 4

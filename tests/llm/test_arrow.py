@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldweave.llm import components, contamination, language_crf, linking, ngram_join, packing, passages, personal_data, shingles
-from fieldweave.llm.scratch import Scratch
+from fieldweave.sources.shared import Scratch
 
 from .edge import EDGE, PROSE, edge_docs, empty_docs
 from .test_native import WORD

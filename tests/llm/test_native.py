@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldweave.llm import license_scan, line_dedup, quality_rules, shard_tree
-from fieldweave.llm.scratch import Scratch
+from fieldweave.sources.shared import Scratch
 
 from .edge import EDGE, edge_docs, empty_docs
 
