@@ -138,11 +138,12 @@ s AS ({features("src")}), t AS ({features("tgt")}),
 p AS (
   SELECT s.table_ord AS so, t.table_ord AS tt, s.field_ord AS sf, t.field_ord AS tf, s.table_name AS source_table, s.name AS source_field,
     t.table_name AS target_table, t.name AS target_field, s.lname AS sn, t.lname AS tn, s."desc" AS sd, t."desc" AS td, s.ldesc AS sl, t.ldesc AS tl,
-    s.ltype AS sy, t.ltype AS ty, s.tokens AS sk, t.tokens AS tk, s.full_py AS sfp, t.full_py AS tfp, s.abbr_py AS sap, t.abbr_py AS tap, s.name_abbr AS sna, t.name_abbr AS tna
+    s.ltype AS sy, t.ltype AS ty, s.tokens AS sk, t.tokens AS tk, s.full_py AS sfp, t.full_py AS tfp, s.abbr_py AS sap, t.abbr_py AS tap, s.name_abbr AS sna, t.name_abbr AS tna,
+    s.table_desc AS std, t.table_desc AS ttd, s.type AS s_type, t.type AS t_type
   FROM s, t
 ),
 ip AS (SELECT sn AS a, tn AS b FROM p UNION SELECT sfp, tn FROM p UNION SELECT sap, tn FROM p UNION SELECT tfp, sn FROM p UNION SELECT tap, sn FROM p),
-gp AS (SELECT sn AS a, tn AS b FROM p UNION SELECT sd, td FROM p UNION SELECT sl, tl FROM p UNION SELECT sy, ty FROM p),
+gp AS (SELECT sn AS a, tn AS b FROM p UNION SELECT sd, td FROM p UNION SELECT sl, tl FROM p UNION SELECT sy, ty FROM p UNION SELECT lower(source_table), lower(target_table) FROM p UNION SELECT lower(std), lower(ttd) FROM p),
 {INDEL},
 {GESTALT},
 q AS (
@@ -238,6 +239,35 @@ x AS (
 {TAKE.format(order=f"confidence DESC, exact DESC, similarity DESC, {EDGE_ORDER}", edges="x")}
 SELECT {PAIR}, similarity, confidence FROM seq JOIN take USING (k) WHERE ok"""
 
+def best_pairs(threshold: float, most: int) -> str:
+    return f"""tp AS (
+  SELECT DISTINCT so, tt, source_table, target_table, 0.7 * g1.ratio + 0.3 * CASE WHEN std <> '' AND ttd <> '' THEN g2.ratio ELSE 0 END AS ts
+  FROM p JOIN gestalt g1 ON g1.a = lower(source_table) AND g1.b = lower(target_table) JOIN gestalt g2 ON g2.a = lower(std) AND g2.b = lower(ttd)
+),
+best AS (SELECT source_table, target_table, row_number() OVER (ORDER BY ts DESC, so, tt) - 1 AS pair_ord FROM tp WHERE ts >= {threshold} ORDER BY ts DESC, so, tt LIMIT {most})"""
+
+
+def piped(score: str, pair_threshold: float, most: int, cap: int) -> str:
+    """Candidates of the best table pairs at 0.5, through the rule and the cap, in ``top``."""
+    return f"""{PAIRS},
+{best_pairs(pair_threshold, most)},
+cand AS (SELECT parts.*, pair_ord, {score} AS similarity, sn = tn AS exact FROM parts JOIN best USING (source_table, target_table) WHERE {score} >= 0.5),
+rest AS (
+  SELECT *, source_field AS s, target_field AS t FROM cand WHERE NOT exact
+    AND source_field NOT IN (SELECT source_field FROM cand WHERE exact) AND target_field NOT IN (SELECT target_field FROM cand WHERE exact)
+),
+{TAKE.format(order="similarity DESC, pair_ord, so, tt, sf, tf", edges="rest")},
+top AS (
+  SELECT {PAIR}, similarity, sn, tn, sl, tl FROM (SELECT * FROM cand WHERE exact UNION ALL SELECT * EXCLUDE (s, t, k, us, ut, ok) FROM seq JOIN take USING (k) WHERE ok)
+  ORDER BY exact DESC, similarity DESC, pair_ord, so, tt, sf, tf LIMIT {cap}
+)"""
+
+
+CONFIGURED = "least(1.0, 0.4 * enh_char + 0.5 * enh_semantic + 0.1 * enh_struct + pinyin_bonus + synonym_bonus)"
+ASK = "请按以下格式回答：' || chr(10) || '判断：是或否' || chr(10) || '置信度：0到1的小数' || chr(10) || '理由：一句话"
+BOTH = "'源字段: ' || source_field || '，描述: ' || sd || '，类型: ' || s_type || chr(10) || '目标字段: ' || target_field || '，描述: ' || td || '，类型: ' || t_type || chr(10) || '" + ASK + "'"
+LEAD = "CASE WHEN base >= 0.7 THEN '这两个字段特征相似度很高，请确认是否语义等价。' WHEN base >= 0.4 THEN '这两个字段特征相似度中等，请仔细判断是否语义等价。' ELSE '这两个字段特征相似度较低，请考虑缩写和拼音后判断是否语义等价。' END"
+
 CALLS = """
 c AS (
   SELECT event_id, user_id, event_type = 'error' AS bad, round(least(1.0, value / 500), 3) AS sim, 'c_' || event_type AS sn,
@@ -412,3 +442,22 @@ ORACLE: dict[str, str] = {
     "results_union": f"WITH {JUDGED} SELECT source_table AS t, source_field AS f FROM j WHERE yes UNION SELECT target_table, target_field FROM j WHERE yes",
     "flagship": f"{RULED.replace('base >= 0.3', 'base >= 0.5')} SELECT {PAIR}, round(similarity, 6)::DOUBLE AS similarity, {FIXED_YES} AS \"match\", round({FIXED_RULE}, 6)::DOUBLE AS confidence FROM ruled",
 }
+
+ORACLE |= {
+    "candidates_of_best_pairs": f"{PAIRS}, {best_pairs(0.2, 5)} SELECT pair_ord, {PAIR}, round(base, 6)::DOUBLE AS similarity FROM parts JOIN best USING (source_table, target_table) WHERE base >= 0.3",
+    "prompts": f"{PAIRS} SELECT {PAIR}, '判断两个数据库字段是否语义等价。' || chr(10) || {BOTH} AS short, {LEAD} || chr(10) || {BOTH} AS adaptive FROM parts WHERE base >= 0.5",
+    "pipeline_pruned": f'{piped("base", 0.3, 50, 100)} SELECT {PAIR}, round(similarity, 6)::DOUBLE AS similarity, similarity > 0.8 AS "match", round(similarity, 6)::DOUBLE AS confidence FROM top',
+    "pipeline_stable": f"{piped(CONFIGURED, 0.2, 15, 30)}, c AS (SELECT {PAIR}, similarity AS sim, sn, tn, sl AS sd, tl AS td FROM top), "
+    f"j AS (SELECT *, {ruled('ultra')[0]} AS yes, {ruled('ultra')[1]} AS sure FROM c) SELECT {PAIR}, round(sim, 6)::DOUBLE AS similarity, round(sure, 6)::DOUBLE AS confidence, {TIER} AS confidence_category FROM j WHERE yes",
+    "enriched_results": f"""{RULED.replace("base >= 0.3", "base >= 0.5").replace("seq AS", "seq1 AS").replace("seq.", "seq1.").replace("JOIN seq ", "JOIN seq1 ").replace("FROM seq ", "FROM seq1 ").replace("take", "take1")},
+x AS (
+  SELECT ruled.*, sd, td, s_type, t_type, {FIXED_RULE.replace("similarity", "ruled.similarity").replace("source_field", "ruled.source_field").replace("target_field", "ruled.target_field")} AS sure,
+    ruled.source_table || '.' || ruled.source_field AS s, ruled.target_table || '.' || ruled.target_field AS t
+  FROM ruled JOIN p USING ({PAIR})
+),
+y AS (SELECT * FROM x WHERE sure >= 0.7 AND (similarity > 0.6 OR lower(source_field) = lower(target_field))),
+{TAKE.format(order="sure DESC, exact DESC, similarity DESC", edges="y")}
+SELECT {PAIR}, sd AS source_field_desc, s_type AS source_field_type, td AS target_field_desc, t_type AS target_field_type, round(similarity, 6)::DOUBLE AS similarity, round(sure, 6)::DOUBLE AS confidence,
+  'LLM调用失败，基于相似度' || printf('%.2f', similarity) || '的回退判断。错误：；特征相似度: ' || printf('%.2f', similarity) || '；LLM置信度: ' || printf('%.2f', sure) AS matching_basis
+FROM seq JOIN take USING (k) WHERE ok""",
+}
