@@ -119,9 +119,15 @@ def repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_ba
     for k in range(n_batches):
         runs.add(hashed.where(F.col("batch") == k))
     totals = runs.compact().where(F.col("n_docs") >= min_docs)
+    # Lines of more than one part in 8 n of all are at most 8 n lines: those are broadcast,
+    # so that no task gets all rows of a line that a third of the corpus holds.
+    parts = 8 * partitions(docs.sparkSession)
+    common = max(min_docs, hashed.count() // parts + 1)
+    hot = F.broadcast(totals.where(F.col("n_docs") >= common))
+    rest = hashed.join(hot.select(*K), K, "left_anti").join(totals.where(F.col("n_docs") < common), K)
+    found = hashed.join(hot, K).unionByName(rest)
     return (
-        hashed.join(totals, K).where(F.col("doc_id") != F.col("keep_doc"))
-        .select("doc_id", "row_hash", "pos").distinct()
+        found.where(F.col("doc_id") != F.col("keep_doc")).select("doc_id", "row_hash", "pos").distinct()
         .groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_list("pos")).alias("drops"))
     )
 

@@ -178,7 +178,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     survey = scratch.keep(texts.mapInPandas(_survey, SURVEY), "survey")
     sized = survey.where("gram is null").select("doc_id", "n", "fa", "fb")
-    classes = sized.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("class_id"))
+    # Written, so that the join below is of two plain shuffles and a large class is split.
+    classes = scratch.keep(sized.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("class_id")), "classes")
     members = scratch.keep(
         sized.join(classes, ["fa", "fb"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")), "members"
     )

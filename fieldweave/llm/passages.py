@@ -191,7 +191,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "doc_id", "start", "end", F.coalesce("component", "node").alias("cluster_id")
     )
     several = labelled.groupBy("cluster_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).where("keeper < most")
-    members = scratch.keep(labelled.join(several.select("cluster_id", "keeper"), "cluster_id"), "members")
+    # Written, so that the join is of two plain shuffles and a large cluster is split.
+    several = scratch.keep(several.select("cluster_id", "keeper"), "several")
+    members = scratch.keep(labelled.join(several, "cluster_id"), "members")
     sizes = members.groupBy("cluster_id", "doc_id").agg(F.lit(1).alias("one")).groupBy("cluster_id").agg(F.count("*").alias("n_docs"))
     flagged = members.join(sizes, "cluster_id").select(
         "doc_id", "start", "end", "cluster_id", "n_docs", (F.col("doc_id") != F.col("keeper")).alias("removed")
