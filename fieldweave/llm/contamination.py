@@ -31,8 +31,8 @@ from .shingles import CHUNK, K, chunks, common, shingle_hashes, shingle_sets, st
 
 #: Shared shingles that make an item contained, of a hundred.
 PERCENT = 75
-#: MinHash values of an item. At the least similarity of a whole item in its stretch, 1/5,
-#: 40 values miss one in 7,500; at that of a three-quarter item, one in 1,500.
+#: MinHash values of an item. At the least similarity of a whole item to its stretch, 1/4,
+#: 40 values miss one in 100,000; at that of three quarters of one, 3/17, one in 2,300.
 BANDS = 40
 ITEM_BLOCK = 50_000
 

@@ -18,6 +18,7 @@ and text); an empty table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 import math
 import random
 import re
@@ -178,7 +179,9 @@ def classify(found: DataFrame) -> DataFrame:
     """(row, paragraph, family, probability, containment, confirmed) of the proposals."""
     spark, m = found.sparkSession, model()
     grams = sorted(m.grams, key=m.grams.get)
-    weights = F.broadcast(spark.createDataFrame([(g, *map(float, m.weights[i])) for i, g in enumerate(grams)], "gram string, " + ", ".join(f"w{k} double" for k in range(len(m.families)))))
+    # The model's weights, a few hundred rows, as a literal relation.
+    held = json.dumps([{"gram": g, "w": m.weights[i]} for i, g in enumerate(grams)])
+    weights = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(held), "array<struct<gram: string, w: array<double>>>"))))
 
     def joined(w: Column) -> Column:
         n = F.size(w)
@@ -187,7 +190,7 @@ def classify(found: DataFrame) -> DataFrame:
 
     each = found.select("row", "paragraph", F.explode(let(F.col("words"), joined)).alias("gram")).join(weights, "gram")
     # Sums are of the model's own n-grams only, a bounded number for each paragraph.
-    sums = each.groupBy("row", "paragraph").agg(*[(F.sum(f"w{k}") + F.lit(m.bias[k])).alias(f"z{k}") for k in range(len(m.families))])
+    sums = each.groupBy("row", "paragraph").agg(*[(F.sum(F.get("w", k)) + F.lit(m.bias[k])).alias(f"z{k}") for k in range(len(m.families))])
     z = [F.col(f"z{k}") for k in range(len(m.families))]
     e = [F.exp(v - F.greatest(*z)) for v in z]
     total = functools.reduce(lambda a, b: a + b, e)

@@ -81,7 +81,7 @@ def shard_of(doc_id: Column, shards: tuple[Shard, ...]) -> Column:
     return let(_winner(key, "region", regions), lambda r: pick(r, [(k, in_region(k)) for k in regions])).cast("int")
 
 
-def with_slots(placed: DataFrame, shard: str = "shard", order: str = "doc_id") -> DataFrame:
+def with_slots(placed: DataFrame, n_shards: int, shard: str = "shard", order: str = "doc_id") -> DataFrame:
     """Adds ``slot``, gapless from 0 in each shard.
 
     A shard's rows are numbered in as many parts as there are shuffle partitions, and a
@@ -93,7 +93,7 @@ def with_slots(placed: DataFrame, shard: str = "shard", order: str = "doc_id") -
     before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(shard).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     numbered = parted.withColumn("_i", F.row_number().over(Window.partitionBy(shard, "_part").orderBy(order)) - 1)
-    starts = small(starts, 4096 * n, 1_000_000)
+    starts = small(starts, n_shards * n, 1_000_000)  # a row for each shard and part at most
     return (
         numbered.join(starts, F.col(shard).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
         .withColumn("slot", (F.col("_start") + F.col("_i")).cast("long")).drop("_part", "_i", "_s", "_p", "_start")
@@ -112,4 +112,4 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, weights: dict[int, float]
         shard_of(F.col("doc_id"), now).alias("shard"),
         shard_of(F.col("doc_id"), grown).alias("grown_shard"),
     )
-    return with_slots(placed).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return with_slots(placed, n_shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
