@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from .linking import PERCENT, blocks, linked_components
 from ..sources.shared import Scratch, small
 from .shingles import common, mix, shingle_sets
+from .slices import map_slices
 
 #: Documents that make an n-gram widespread, and the most such n-grams that are ordered by
 #: count (the rest go by hash: the order is a matter of speed, any order gives all links).
@@ -162,12 +163,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """``pairs`` (a, b) with ``linked``, from the overlap of their whole sets."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     n = involved.count()
-    sets = scratch.keep(texts.join(small(involved, n, BROADCAST_ROWS), "doc_id", "left_semi").mapInPandas(_sets, "doc_id long, grams binary"), "sets")
+    sets = scratch.keep(map_slices(texts.join(small(involved, n, BROADCAST_ROWS), "doc_id", "left_semi"), _sets, "doc_id long, grams binary"), "sets")
     if sets.count() > n:  # rows that repeat a doc_id
         sets = sets.dropDuplicates(["doc_id"])
     x = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_overlaps, "a long, b long, linked boolean")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return map_slices(both, _overlaps, "a long, b long, linked boolean")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -176,7 +178,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "ngram-join")
     texts = docs.select("doc_id", "text")
 
-    survey = scratch.keep(texts.mapInPandas(_survey, SURVEY), "survey")
+    survey = scratch.keep(map_slices(texts, _survey, SURVEY), "survey")
     sized = survey.where("gram is null").select("doc_id", "n", "fa", "fb")
     # Written, so that the join below is of two plain shuffles and a large class is split.
     classes = scratch.keep(sized.where("n > 0").groupBy("fa", "fb").agg(F.min("doc_id").alias("class_id")), "classes")
@@ -194,7 +196,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # The product's rows: one text of each class, dealt by n-gram.
     distinct = members.where("n > 0 and doc_id <> class_id").select("doc_id").distinct()
     copies = small(distinct, distinct.count(), BROADCAST_ROWS)
-    rows = texts.join(copies, "doc_id", "left_anti").mapInPandas(_prefixes(frequent), "key long, node long, n int, pos int")
+    rows = map_slices(texts.join(copies, "doc_id", "left_anti"), _prefixes(frequent), "key long, node long, n int, pos int")
     shared = blocks(rows, scratch)
 
     found = linked_components(shared, lambda pairs: _verify(pairs, texts, scratch), scratch, enough)

@@ -19,6 +19,7 @@ an empty table gives no rows; further columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .linking import PERCENT, blocks, linked_components
 from ..sources.shared import Scratch, small
 from .shingles import K, chunks, common, mix, shingle_hashes, stream, word_hashes
+from .slices import map_slices
 
 WINDOW, MIN_WORDS, MIN_RUN = 14, 6, 18
 RECALL, ROWS = 0.98, 2
@@ -58,43 +60,54 @@ def _extreme(x: np.ndarray, w: int, least: bool) -> np.ndarray:
     return x if span == w else f(x[: len(x) - (w - span)], x[w - span :])
 
 
-def cut_points(words: np.ndarray) -> np.ndarray:
-    """Starts of a text's paragraphs, 0 first: positions whose two-word hash is the least of
-    some WINDOW consecutive ones."""
+def cut_points(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Starts of the paragraphs of joined texts, whose words begin at ``at`` (one more at the
+    end): the texts' own, and positions whose two-word hash is the least of some WINDOW
+    consecutive ones of the same text."""
     n = len(words)
-    if n <= WINDOW + 1:
-        return np.zeros(min(n, 1), np.int64)
+    firsts = at[:-1][np.diff(at) > 0]
+    if n <= WINDOW:
+        return firsts
     with np.errstate(over="ignore"):
         h = mix(words[:-1] * _U(0x9E3779B97F4A7C15) + words[1:])
     least = _extreme(h, WINDOW, True)
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    least[text[: len(least)] != text[WINDOW : WINDOW + len(least)]] = 0  # a window of two texts chooses nothing
     pad = np.zeros(WINDOW - 1, _U)
-    chosen = _extreme(np.concatenate([pad, least, pad]), WINDOW, False) == h
-    chosen[0] = True
+    chosen = np.append(_extreme(np.concatenate([pad, least, pad]), WINDOW, False) == h, False)
+    chosen[firsts] = True
     return np.flatnonzero(chosen)
 
 
-def paragraphs(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index, ordinals, starts, ends in words, word hashes) of each text's paragraphs that
-    have MIN_WORDS; ordinals count the shorter ones too."""
-    for first, raws in chunks(texts):
-        words, at = word_hashes(raws)
-        for j in range(len(raws)):
-            own = words[at[j] : at[j + 1]]
-            if len(own) < MIN_WORDS:
-                continue
-            starts = cut_points(own)
-            ends = np.append(starts[1:], len(own))
-            which = np.flatnonzero(ends - starts >= MIN_WORDS)
-            if len(which):
-                yield first + j, which, starts[which], ends[which], own
+@dataclass
+class Paragraphs:
+    """The paragraphs of a run of texts that have MIN_WORDS: each one's text, word range in
+    the text, shingles (joined, with where each one's begin), set hash and set size."""
+
+    text: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    run: np.ndarray
+    offset: np.ndarray
+    node: np.ndarray
+    n: np.ndarray
 
 
-def _shingled(own: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles inside the paragraphs, joined, and where each one's begin."""
-    sizes = ends - starts - K + 1
-    offset = np.cumsum(sizes) - sizes
-    at = np.repeat(starts - offset, sizes) + np.arange(sizes.sum())
-    return shingle_hashes(own, K)[at], offset
+def paragraphs(texts: list[str | None]) -> Iterator[Paragraphs]:
+    for first, raws in chunks(texts):
+        words, at = word_hashes(raws)
+        starts = cut_points(words, at)
+        text = np.searchsorted(at, starts, "right") - 1
+        ends = np.minimum(np.append(starts[1:], len(words)), at[text + 1])
+        big = ends - starts >= MIN_WORDS
+        starts, ends, text = starts[big], ends[big], text[big]
+        if not len(starts):
+            continue
+        sizes = ends - starts - K + 1
+        offset = np.cumsum(sizes) - sizes
+        run = shingle_hashes(words, K)[np.repeat(starts - offset, sizes) + np.arange(sizes.sum())]
+        node, n = _fingerprints(run, offset)
+        yield Paragraphs(first + text, starts - at[text], ends - at[text], run, offset, node, n)
 
 
 def _fingerprints(run: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,42 +124,31 @@ def _fingerprints(run: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every paragraph: doc_id, ordinal, word range, and its set's fingerprint."""
+    """Every paragraph: doc_id, word range, and its set's hash."""
     for batch in batches:
-        ids, held = batch["doc_id"].to_numpy(), []
-        for i, which, starts, ends, own in paragraphs(batch["text"].tolist()):
-            prints, _ = _fingerprints(*_shingled(own, starts, ends))
-            held.append((np.full(len(which), ids[i]), which, starts, ends, prints.view(np.int64)))
-        if held:
-            yield pd.DataFrame(dict(zip(["doc_id", "part", "start", "end", "node"], map(np.concatenate, zip(*held, strict=True)), strict=True)))
+        ids = batch["doc_id"].to_numpy()
+        for p in paragraphs(batch["text"].tolist()):
+            yield pd.DataFrame({"doc_id": ids[p.text], "start": p.start, "end": p.end, "node": p.node.view(np.int64)})
 
 
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, node, n): each paragraph's set with the keys of its bands, once for a batch."""
+    """(key, node, n): each paragraph's set with the keys of its bands, once for a run of texts."""
     for batch in batches:
-        held = []
-        for _, _, starts, ends, own in paragraphs(batch["text"].tolist()):
-            run, offset = _shingled(own, starts, ends)
-            prints, sizes = _fingerprints(run, offset)
+        for p in paragraphs(batch["text"].tolist()):
+            nodes, first = np.unique(p.node, return_index=True)
             with np.errstate(over="ignore"):
-                least = [np.minimum.reduceat(run * f, offset) * f for f in _FACTORS]
-                keys = [mix(sum(least[b * ROWS : (b + 1) * ROWS], np.zeros(len(offset), _U)) + _BAND[b]) for b in range(BANDS)]
-            held.append((prints, sizes, *keys))
-        if held:
-            prints, sizes, *keys = map(np.concatenate, zip(*held, strict=True))
-            prints, first = np.unique(prints, return_index=True)
+                least = [np.minimum.reduceat(p.run * f, p.offset)[first] * f for f in _FACTORS]
+                keys = [mix(sum(least[b * ROWS : (b + 1) * ROWS], np.zeros(len(nodes), _U)) + _BAND[b]) for b in range(BANDS)]
             for key in keys:
-                yield pd.DataFrame({"key": key[first].view(np.int64), "node": prints.view(np.int64), "n": sizes[first].astype(np.int32)})
+                yield pd.DataFrame({"key": key.view(np.int64), "node": nodes.view(np.int64), "n": p.n[first].astype(np.int32)})
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for _, _, starts, ends, own in paragraphs(batch["text"].tolist()):
-            run, offset = _shingled(own, starts, ends)
-            prints, _ = _fingerprints(run, offset)
-            rows += zip(prints.view(np.int64).tolist(), (np.unique(x).tobytes() for x in np.split(run, offset[1:])), strict=True)
-        yield pd.DataFrame(rows, columns=["node", "grams"])
+        for p in paragraphs(batch["text"].tolist()):
+            nodes, first = np.unique(p.node, return_index=True)
+            ends = np.append(p.offset[1:], len(p.run))
+            yield pd.DataFrame({"node": nodes.view(np.int64), "grams": [np.unique(p.run[p.offset[i] : ends[i]]).tobytes() for i in first]})
 
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,16 +161,23 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["a", "b", "linked"])
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``; each set is taken from the least document that holds it."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _sets_of(shared: DataFrame, texts: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, grams) of the nodes in blocks, each from the least document that holds it."""
+    involved = scratch.keep(shared.select("node").distinct(), "involved")
     wanted = small(involved, involved.count(), BROADCAST_ROWS)
-    homes = scratch.keep(parts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "homes")
+    homes = parts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    homes = scratch.keep(homes, "homes")
     source = texts.join(small(homes, homes.count(), BROADCAST_ROWS), "doc_id", "left_semi")
-    sets = scratch.keep(source.mapInPandas(_sets, "node long, grams binary").join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sets = map_slices(source, _sets, "node long, grams binary").join(wanted, "node", "left_semi")
+    return scratch.keep(sets.dropDuplicates(["node"]), "sets")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``, from the overlap of their sets."""
     x = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("grams").alias("y"))
-    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(_overlaps, "a long, b long, linked boolean")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return map_slices(both, _overlaps, "a long, b long, linked boolean", 4096)
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -179,12 +188,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     cluster's least doc_id, which keeps the passage.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    texts = docs.select("doc_id", "text")
-    parts = scratch.keep(
-        texts.mapInPandas(_parts, "doc_id long, part int, start int, end int, node long").where("doc_id is not null"), "parts"
-    )
-    shared = blocks(texts.where("doc_id is not null").mapInPandas(_bands, "key long, node long, n int"), scratch)
-    found = linked_components(shared, lambda pairs: _verify(pairs, texts, parts, scratch), scratch)
+    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    parts = scratch.keep(map_slices(texts, _parts, "doc_id long, start int, end int, node long"), "parts")
+    shared = blocks(map_slices(texts, _bands, "key long, node long, n int"), scratch)
+    sets = _sets_of(shared, texts, parts, scratch)
+    found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch)
 
     labels = small(found, found.count(), BROADCAST_ROWS).withColumnRenamed("node", "_node")
     labelled = parts.join(labels, F.col("node") == F.col("_node"), "left").select(

@@ -173,9 +173,8 @@ def test_paragraphs_against_all_pairs(spark):
     """Every link of the exact join over all paragraphs is in one cluster, but for the bands' misses."""
     texts = [t for t in near_copies(8, 90) if t]
     parts = []
-    for i, which, starts, ends, own in passages.paragraphs(texts):
-        run, offset = passages._shingled(own, starts, ends)
-        parts += [(i, set(x.tolist())) for x in np.split(run, offset[1:])]
+    for p in passages.paragraphs(texts):
+        parts += [(int(i), set(x.tolist())) for i, x in zip(p.text, np.split(p.run, p.offset[1:]), strict=True)]
     pairs = [(a, b) for a, b in itertools.combinations(range(len(parts)), 2) if 100 * len(parts[a][1] & parts[b][1]) >= 75 * len(parts[a][1] | parts[b][1])]
     least = groups(len(parts), pairs)
     size = collections.defaultdict(set)
@@ -196,7 +195,14 @@ def test_passage_edges_and_bands(spark):
     assert {r.doc_id for r in rows} == {6, 7, 8, 12} and [r.doc_id for r in rows if not r.removed] == [6]
     assert passages.digest(empty_docs(spark)).count() == 0
     assert 1 - (1 - 0.75**passages.ROWS) ** passages.tune_bands() >= passages.RECALL
-    assert passages.cut_points(np.zeros(0, np.uint64)).tolist() == []
+    assert passages.cut_points(np.zeros(0, np.uint64), np.zeros(2, int)).tolist() == []
+
+
+def test_cuts_do_not_depend_on_the_texts_beside():
+    texts = [t for t in near_copies(9, 60) if t]
+    cuts = lambda ts: [(int(i), int(a), int(b), int(n)) for p in passages.paragraphs(ts) for i, a, b, n in zip(p.text, p.start, p.end, p.node, strict=True)]
+    alone = [(k, a, b, n) for k, t in enumerate(texts) for _, a, b, n in cuts([t])]
+    assert cuts(texts) == alone and cuts([*texts, None, ""]) == alone
 
 
 def base_spans(text):
