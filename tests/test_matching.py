@@ -203,3 +203,13 @@ def test_config(tmp_path):
     with pytest.raises(FileNotFoundError):
         config.require_files(str(path), str(tmp_path / "missing"))
     assert C.picks("1, 3, x, 9", 3) == [0, 2]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from fieldweave.__main__ import main
+
+    for name, rows in (("s", SOURCE), ("t", TARGET)):
+        (tmp_path / f"{name}.xlsx").write_bytes(xlsx.workbook({"x": [list(D.HEADERS), *map(list, rows)]}))
+    for preset, extra in (("base", []), ("stable", ["--auto", "--max-llm", "5"])):
+        assert main(["--source", str(tmp_path / "s.xlsx"), "--target", str(tmp_path / "t.xlsx"), "--output", str(tmp_path / preset), "--preset", preset, *extra]) == 0
+    assert "candidates" in capsys.readouterr().out
