@@ -134,21 +134,40 @@ def _frame(docs: list, rows: list) -> pd.DataFrame:
     return pd.DataFrame({"key": np.concatenate(rows).view(np.int64), "node": np.repeat(d[:, 0], d[:, 2]), "n": np.repeat(d[:, 1], d[:, 2]).astype(np.int32), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in d[:, 2]])})
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ids = batch["doc_id"].to_numpy()
-        out = [(ids[i], s.tobytes()) for i, s in shingle_sets(batch["text"].tolist())]
-        yield pd.DataFrame(out, columns=["doc_id", "grams"])
+def _sets(dtype: type) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Each document's n-grams, whole (64 bits) or cut to their low bits."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = batch["doc_id"].to_numpy()
+            out = [(ids[i], (s if dtype is _U else np.sort(s.astype(dtype))).tobytes()) for i, s in shingle_sets(batch["text"].tolist())]
+            yield pd.DataFrame(out, columns=["doc_id", "grams"])
 
-def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True):
-            s, t = np.frombuffer(x, _U), np.frombuffer(y, _U)
-            both = common(s, t)
-            rows.append((a, b, 100 * both >= PERCENT * (len(s) + len(t) - both)))
-        yield pd.DataFrame(rows, columns=["a", "b", "linked"])
+    return run
+
+
+def at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """No overlap of the sets that ``a`` and ``b`` (ascending, with repeats) were cut from is
+    larger: equal n-grams have equal low bits."""
+    va, na = np.unique(a, return_counts=True)
+    vb, nb = np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
+    return int(np.minimum(na[i], nb[j]).sum())
+
+
+def _overlaps(dtype: type) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    count = common if dtype is _U else at_most
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for a, b, x, y in zip(batch["a"], batch["b"], batch["x"], batch["y"], strict=True):
+                s, t = np.frombuffer(x, dtype), np.frombuffer(y, dtype)
+                both = count(s, t)
+                rows.append((a, b, 100 * both >= PERCENT * (len(s) + len(t) - both)))
+            yield pd.DataFrame(rows, columns=["a", "b", "linked"])
+
+    return run
 
 
 def enough(keys: Column, n: Column, m: Column) -> Column:
@@ -159,17 +178,25 @@ def enough(keys: Column, n: Column, m: Column) -> Column:
     return F.lit(100 + PERCENT) * (keys + need - 1) >= F.lit(PERCENT) * (n + m)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, from the overlap of their whole sets."""
+def _compare(pairs: DataFrame, texts: DataFrame, scratch: Scratch, dtype: type) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``, from the overlap of their sets in ``dtype``."""
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     n = involved.count()
-    sets = scratch.keep(map_slices(texts.join(small(involved, n, BROADCAST_ROWS), "doc_id", "left_semi"), _sets, "doc_id long, grams binary"), "sets")
+    sets = scratch.keep(map_slices(texts.join(small(involved, n, BROADCAST_ROWS), "doc_id", "left_semi"), _sets(dtype), "doc_id long, grams binary"), "sets")
     if sets.count() > n:  # rows that repeat a doc_id
         sets = sets.dropDuplicates(["doc_id"])
     x = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
     both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return map_slices(both, _overlaps, "a long, b long, linked boolean")
+    return map_slices(both, _overlaps(dtype), "a long, b long, linked boolean")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``. Sets of 16-bit n-grams, a quarter of the bytes, bound
+    the overlap from above and settle most pairs; whole sets settle the rest."""
+    bound = scratch.keep(_compare(pairs, texts, scratch, np.uint16), "bound")
+    whole = _compare(bound.where("linked").select("a", "b"), texts, scratch, _U)
+    return bound.where("NOT linked").unionByName(whole)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

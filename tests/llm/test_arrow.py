@@ -49,6 +49,12 @@ def test_shingle_sets(texts):
         assert shingles.common(got[i], got[j]) == len(grams(texts[i]) & grams(texts[j]))
 
 
+@given(st.sets(st.integers(0, 1 << 40), max_size=60), st.sets(st.integers(0, 1 << 40), max_size=60))
+def test_cut_sets_bound_the_overlap(a, b):
+    cut = lambda x: np.sort(np.array(sorted(x), np.uint64).astype(np.uint16))
+    assert len(a & b) <= ngram_join.at_most(cut(a), cut(b)) <= min(len(a), len(b))
+
+
 def near_copies(seed=3, n=160):
     """Texts with exact copies, copies at every distance, a passage in many, and loners."""
     rng = random.Random(seed)
