@@ -180,19 +180,20 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_slices(both, _overlaps, "a long, b long, linked boolean", 4096)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, exhaustive: bool = False) -> DataFrame:
     """(doc_id, start, end, n_words, cluster_id, n_docs, removed) of repeated passages.
 
     ``start`` and ``end`` count the document's words; ``cluster_id`` names the cluster of
     the passage's first paragraph, ``n_docs`` its documents; ``removed`` is false in the
-    cluster's least doc_id, which keeps the passage.
+    cluster's least doc_id, which keeps the passage. With ``exhaustive``, paragraphs of one
+    band that the rounds left in different clusters are compared pair by pair as well.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     parts = scratch.keep(map_slices(texts, _parts, "doc_id long, start int, end int, node long"), "parts")
     shared = blocks(map_slices(texts, _bands, "key long, node long, n int"), scratch)
     sets = _sets_of(shared, texts, parts, scratch)
-    found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch)
+    found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch, exhaustive=exhaustive)
 
     labels = small(found, found.count(), BROADCAST_ROWS).withColumnRenamed("node", "_node")
     labelled = parts.join(labels, F.col("node") == F.col("_node"), "left").select(
