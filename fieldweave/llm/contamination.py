@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import Scratch, small
-from .shingles import CHUNK, K, chunks, common, shingle_hashes, shingle_sets, stream, word_hashes
+from .shingles import WIDE, K, chunks, common, shingle_hashes, shingle_sets, stream, word_hashes
 
 #: Shared shingles that make an item contained, of a hundred.
 PERCENT = 75
@@ -117,7 +117,7 @@ def _met(run: np.ndarray, sizes: np.ndarray, items: Items) -> set[tuple[int, int
 
 def _pairs(texts: list[str | None], items: Items) -> Iterator[tuple[int, int, int, int]]:
     """(text's index, item's index, shared shingles, item's shingles) of contained items."""
-    for first, raws in chunks(texts, CHUNK):
+    for first, raws in chunks(texts, WIDE):
         words, at = word_hashes(raws)
         n_words = np.diff(at)
         for m, (table, ks) in items.short.items():

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shingles import chunks, mix, stream, word_hashes
+from .shingles import WIDE, chunks, mix, stream, word_hashes
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
@@ -225,7 +225,7 @@ def lowered(text: str | None) -> bytes:
 
 def label_texts(model: Model, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first index, marginals of the words, each text's first word) for runs of texts."""
-    for first, raws in chunks([t and t.lower() for t in texts]):
+    for first, raws in chunks([t and t.lower() for t in texts], WIDE):
         at, number, distinct, grams, offset = encode(raws)
         fresh = np.zeros(len(number), bool)
         fresh[at[:-1][np.diff(at) > 0]] = True

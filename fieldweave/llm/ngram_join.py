@@ -44,7 +44,7 @@ from .slices import map_slices
 #: count (the rest go by hash: the order is a matter of speed, any order gives all links).
 HOT_DOCS, HOT_MOST = 8, 1_000_000
 #: n-grams that are counted together in a task.
-COUNT_CHUNK = 1 << 21
+COUNT_CHUNK = 1 << 20
 #: Rows up to which a table of ids is broadcast.
 BROADCAST_ROWS = 2_000_000
 

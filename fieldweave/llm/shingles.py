@@ -13,8 +13,9 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 K = 5
-#: Bytes that are hashed together at most, but for longer single texts.
-CHUNK = 1 << 21
+#: Bytes that are hashed together at most, but for longer single texts; a worker holds some
+#: 60 times as many. WIDE is for operators with more work for each run of texts.
+CHUNK, WIDE = 1 << 19, 1 << 21
 
 _U = np.uint64
 
