@@ -100,7 +100,7 @@ Enough = Callable[[Column, Column, Column], Column]
 
 
 def linked_components(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, enough: Enough = lambda keys, n, m: F.lit(True), exhaustive: bool = True
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch, enough: Enough = lambda keys, n, m: F.lit(True), sketches: DataFrame | None = None
 ) -> DataFrame:
     """(node, component) of every node with a link.
 
@@ -109,8 +109,10 @@ def linked_components(
     pairs that cannot be linked if those are all their keys. In each of some rounds a node
     is compared with the pivot of another component that it shares most keys with. The
     counts are of some keys only, so what they rule out is left to the pairs across
-    components; the rounds make those pairs few, and leave out none. Without ``exhaustive``
-    the rounds are all: linear in the blocks, for keys that unlike nodes share in numbers.
+    components; the rounds make those pairs few, and leave out none. ``sketches`` (node,
+    sketch) is for keys that unlike nodes share in numbers: bit i of a node's sketch is set
+    if any of its n elements falls into slot i of 64. Sketches differ in no more bits than
+    sets in elements, so pairs that differ in too many are no links and are not formed.
     """
     stars, left, tried, links, found = shared, None, None, None, None
     for turn in range(1, ROUNDS + 1):
@@ -135,12 +137,15 @@ def linked_components(
         if turn == ROUNDS or 20 * n_linked <= n_new:
             break
         stars = _swept(_central(left) if turn % 2 else left, turn)
-    if not exhaustive:
-        return found
 
-    x, y = left.alias("x"), left.alias("y")
+    rest = left if sketches is None else left.join(sketches, "node")
+    x, y = rest.alias("x"), rest.alias("y")
     size = F.lit(PERCENT) * (F.col("x.n") + F.col("y.n"))
     near = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n"))
+    if sketches is not None:
+        # A link's symmetric difference is at most (100 - PERCENT) / (100 + PERCENT) of n + m.
+        apart = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
+        near &= (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
     # From their first common element on, both nodes have the whole overlap of a link left.
     ample = ((100 + PERCENT) * (F.col("x.n") - F.col("x.pos")) >= size) & ((100 + PERCENT) * (F.col("y.n") - F.col("y.pos")) >= size)
     across = (

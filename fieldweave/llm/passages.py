@@ -148,7 +148,8 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in paragraphs(batch["text"].tolist()):
             nodes, first = np.unique(p.node, return_index=True)
             ends = np.append(p.offset[1:], len(p.run))
-            yield pd.DataFrame({"node": nodes.view(np.int64), "grams": [np.unique(p.run[p.offset[i] : ends[i]]).tobytes() for i in first]})
+            sketch = np.bitwise_or.reduceat(_U(1) << (p.run >> _U(58)), p.offset)[first]
+            yield pd.DataFrame({"node": nodes.view(np.int64), "sketch": sketch.view(np.int64), "grams": [np.unique(p.run[p.offset[i] : ends[i]]).tobytes() for i in first]})
 
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,13 +163,13 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sets_of(shared: DataFrame, texts: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, grams) of the nodes in blocks, each from the least document that holds it."""
+    """(node, sketch, grams) of the nodes in blocks, each from the least document that holds it."""
     involved = scratch.keep(shared.select("node").distinct(), "involved")
     wanted = small(involved, involved.count(), BROADCAST_ROWS)
     homes = parts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     homes = scratch.keep(homes, "homes")
     source = texts.join(small(homes, homes.count(), BROADCAST_ROWS), "doc_id", "left_semi")
-    sets = map_slices(source, _sets, "node long, grams binary").join(wanted, "node", "left_semi")
+    sets = map_slices(source, _sets, "node long, sketch long, grams binary").join(wanted, "node", "left_semi")
     return scratch.keep(sets.dropDuplicates(["node"]), "sets")
 
 
@@ -180,20 +181,21 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_slices(both, _overlaps, "a long, b long, linked boolean", 4096)
 
 
-def repeated_passages(docs: DataFrame, exhaustive: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, n_words, cluster_id, n_docs, removed) of repeated passages.
 
     ``start`` and ``end`` count the document's words; ``cluster_id`` names the cluster of
     the passage's first paragraph, ``n_docs`` its documents; ``removed`` is false in the
-    cluster's least doc_id, which keeps the passage. With ``exhaustive``, paragraphs of one
-    band that the rounds left in different clusters are compared pair by pair as well.
+    cluster's least doc_id, which keeps the passage. Paragraphs of one band that the rounds
+    left in different clusters are compared pair by pair, but those whose sketches rule a
+    link out.
     """
     scratch = Scratch(docs.sparkSession, "passages")
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     parts = scratch.keep(map_slices(texts, _parts, "doc_id long, start int, end int, node long"), "parts")
     shared = blocks(map_slices(texts, _bands, "key long, node long, n int"), scratch)
     sets = _sets_of(shared, texts, parts, scratch)
-    found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch, exhaustive=exhaustive)
+    found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch, sketches=sets.select("node", "sketch"))
 
     labels = small(found, found.count(), BROADCAST_ROWS).withColumnRenamed("node", "_node")
     labelled = parts.join(labels, F.col("node") == F.col("_node"), "left").select(
