@@ -21,8 +21,9 @@ Documents with equal shingle sets form a class known by its least doc_id; the jo
 over classes, and copies follow their class.
 
 Defined results: null or wordless texts have no shingles, component_id is the doc_id;
-fewer than five words are one shingle; rows that repeat a doc_id count as copies of it; an
-empty table gives an empty result; further columns are not read.
+fewer than five words are one shingle; rows that repeat a doc_id count as copies of it; a
+row with a null doc_id is beside the join, each one by itself: it has n_shingles, but null
+component_id and class_id, and ``one_of_each`` keeps it; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -203,7 +204,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
-    texts = docs.select("doc_id", "text")
+    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    # A null would make the ids of its slice floats.
+    unnamed = docs.where("doc_id IS NULL").select(F.lit(0).cast("long").alias("doc_id"), "text")
+    unnamed = map_slices(unnamed, _survey, SURVEY).where("gram is null")
 
     survey = scratch.keep(map_slices(texts, _survey, SURVEY), "survey")
     sized = survey.where("gram is null").select("doc_id", "n", "fa", "fb")
@@ -228,21 +232,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     found = linked_components(shared, lambda pairs: _verify(pairs, texts, scratch), scratch, enough)
     scratch.free(survey, shared)
-    return (
+    named = (
         members.join(found, F.col("class_id") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
     )
+    none = F.lit(None).cast("long")
+    return named.unionByName(unnamed.select(none.alias("doc_id"), F.col("n").alias("n_shingles"), none.alias("component_id"), none.alias("class_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with the least doc_id of each component only, and one row of a repeated one."""
+    """``docs`` with the least doc_id of each component only, and one row of a repeated one;
+    rows with a null doc_id all stay."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
     first = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
     kept = scratch.keep(first, "kept")
     n, n_ids = kept.agg(F.count("*"), F.countDistinct("doc_id")).first()
     ids = kept.distinct() if n > n_ids else kept
     out = docs.join(small(ids, n_ids, BROADCAST_ROWS), "doc_id", "left_semi").select(docs.columns)
-    return out.dropDuplicates(["doc_id"]) if n > n_ids else out
+    out = out.dropDuplicates(["doc_id"]) if n > n_ids else out
+    return out.unionByName(docs.where("doc_id IS NULL"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ all paragraphs but those of its least doc_id are removals. Neighbouring paragrap
 document make a run; runs under ``MIN_RUN`` words are short common lines and stay.
 
 Defined results: null, empty and short texts have no paragraphs; repeated rows count as one
-document (doc_id is its key); a paragraph repeated inside one document only is left alone;
+document (doc_id is its key); rows with a null doc_id take no part: no row could name them,
+and nothing of them is removed; a paragraph repeated inside one document only is left alone;
 an empty table gives no rows; further columns are not read.
 """
 

@@ -6,8 +6,9 @@ import random
 
 import pandas as pd
 
-from fieldweave.llm import passages
+from fieldweave.llm import ngram_join, passages
 
+from .edge import PROSE, edge_docs
 from .test_arrow import groups
 
 
@@ -51,3 +52,20 @@ def test_all_near_equal_paragraphs_of_a_band_are_linked(spark, monkeypatch):
     assert {r.doc_id for r in got} == {t for t, _, _ in expected}
     assert {n for _, n in clusters} <= {n for _, n, _ in expected}
     assert max(n for _, n in clusters) == max(n for _, n, _ in expected)
+
+
+def test_rows_without_a_doc_id_stay(spark):
+    big = 2**60 + 1
+    more = [(None, PROSE, "en"), (None, PROSE, "en"), (None, None, "en"), (big, "five more words stand here alone", "en"), (None, "own", None)]
+    rows = [(i, t, lang, "src", len(t or ""), "node") for i, t, lang in more]
+    docs = edge_docs(spark)
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema)).coalesce(1)
+    got = ngram_join.digest(docs).collect()
+    assert len(got) == docs.count() and {r.component_id for r in got if r.doc_id == big} == {big}
+    n = ngram_join.shingle_sets([PROSE])
+    size = len(next(n)[1])
+    assert sorted(r.n_shingles for r in got if r.doc_id is None) == [0, 1, size, size]
+    assert all(r.component_id is None and r.class_id is None for r in got if r.doc_id is None)
+    kept = ngram_join.one_of_each(docs).collect()
+    assert sum(r.doc_id is None for r in kept) == 4 and {6, 1, big} <= {r.doc_id for r in kept} and 7 not in {r.doc_id for r in kept}
+    assert not [r for r in passages.digest(docs).collect() if r.doc_id is None]
