@@ -270,6 +270,18 @@ def one_to_one_values(spark: SparkSession, d: str) -> DataFrame:
     return C.one_to_one(judged).select(*PAIR, "similarity", "confidence")
 
 
+@query
+def greedy_values_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``greedy_values`` over all brands: names that other brands use compete for the same fields."""
+    return C.matching_rule(value_edges(spark, d)).select(*PAIR, "similarity", "exact")
+
+
+@query
+def one_to_one_values_whole(spark: SparkSession, d: str) -> DataFrame:
+    judged = value_edges(spark, d).withColumn("exact", C.is_exact()).withColumn("confidence", F.round(F.col("similarity"), 1))
+    return C.one_to_one(judged).select(*PAIR, "similarity", "confidence")
+
+
 # The judge, over events: an event is a call, its value the similarity.
 
 
