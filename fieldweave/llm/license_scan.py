@@ -1,11 +1,14 @@
 """Licence notices in documents (DataFrame functions only).
 
-A paragraph (a line of the text) is a proposal if it holds one of the ``ANCHORS`` that every
-notice has; any other is of the unknown class. Proposals are classified by multinomial
+A line of the text is a proposal if it holds one of the ``ANCHORS``. Neighbouring lines
+are a joined proposal if together, and without any one at their ends, they hold ``CONFIRM``
+of a template's words: a notice may be wrapped anywhere. Whatever could be confirmed is so
+proposed; any other line is of the unknown class. Proposals are classified by multinomial
 logistic regression over the presence of word 1- to 3-grams, and a family is believed if
 its probability reaches the threshold calibrated for it. A template comparison then
 confirms the prediction: ``CONFIRM`` of the template's distinct words occur in the
-paragraph. The model is trained here from the templates below, in thousands of random
+paragraph. Where it does not, a ``SHORT`` name that stands in the paragraph word for word
+gives the family, with probability 1. The model is trained here from the templates below, in thousands of random
 variants, against paragraphs of the unknown class; it is small and of fixed size, and
 scoring is a broadcast join of the proposals' n-grams with its weights.
 
@@ -54,6 +57,19 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
     "Proprietary": ("All rights reserved.", "Copyright, all rights reserved. No part may be reproduced without written permission."),
 }
+_SPDX = {
+    "AGPL-3.0": ("AGPL-3.0",), "Apache-2.0": ("Apache-2.0",), "BSD": ("BSD-2-Clause", "BSD-3-Clause"), "CC-BY-4.0": ("CC-BY-4.0",),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "CC-BY-SA-4.0": ("CC-BY-SA-4.0",), "CC0-1.0": ("CC0-1.0",), "GPL-2.0": ("GPL-2.0",),
+    "GPL-3.0": ("GPL-3.0",), "LGPL": ("LGPL-2.1", "LGPL-3.0"), "MIT": ("MIT",), "MPL-2.0": ("MPL-2.0",), "Proprietary": (),
+}
+#: Names that state a licence by themselves, confirmed word for word.
+SHORT: dict[str, tuple[str, ...]] = {
+    family: (
+        *(f"SPDX-License-Identifier: {i}{end}" for i in ids for end in (("", "-only", "-or-later") if "GPL" in i else ("",))),
+        *(("MIT License", "The MIT License (MIT)") if family == "MIT" else ()),
+    )
+    for family, ids in _SPDX.items()
+}
 #: Sentences near the subject that state no licence.
 OTHERS = (
     "The driver must hold a valid license to drive a car.", "Her license plate was found on the road.", "He was granted permission to leave the room early.",
@@ -63,7 +79,7 @@ OTHERS = (
     "Terms and conditions were discussed at length.", "The licence fee rose again.", "No permission was needed to enter.", "The library is open to the general public.",
     "This paragraph reports on software that anyone may redistribute or sell.",
 )
-#: Stems of which every notice holds one.
+#: Stems that make a line a proposal by itself; every short name holds one.
 ANCHORS = ("licen", "rights reserved", "public domain", "permission", "redistribut", "gnu gpl", "copyright")
 SPREAD, EPOCHS, RATE, DECAY = 60, 60, 0.5, 1e-3
 CONFIRM = 0.8
@@ -162,7 +178,7 @@ def _found(words: Column, template: tuple[str, ...]) -> Column:
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """(row, paragraph, words) of the lines that hold an anchor, once for a repeated row;
+    """(row, paragraph, words) of the lines that hold an anchor and of joined lines, once for a repeated row;
     ``docs`` has ``row`` and ``text``."""
 
     def anchored(x: Column) -> Column:
@@ -172,7 +188,55 @@ def proposals(docs: DataFrame) -> DataFrame:
     some = docs.where(let(F.lower(F.coalesce("text", F.lit(""))), anchored))
     each = some.select("row", F.posexplode(lines(F.lower("text"))).alias("paragraph", "line"))
     found = each.where(let(F.col("line"), anchored)).dropDuplicates(["row", "paragraph"])
-    return found.select("row", "paragraph", F.regexp_extract_all("line", F.lit(_JAVA_WORD), F.lit(1)).alias("words"))
+    single = found.select("row", F.col("paragraph").cast("long").alias("paragraph"), _words(F.col("line")).alias("words"))
+    return single.unionByName(_joined(docs))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_JAVA_WORD), F.lit(1))
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """(row, paragraph, words) of neighbouring lines that hold CONFIRM of a template's words
+    and lose that without their first or last line; lines without words do not count. The
+    last one begins within the template's length from the first one's end. ``paragraph``
+    is below 0."""
+    known = [word_list(t) for ts in TEMPLATES.values() for t in ts]
+    sets = [list(dict.fromkeys(ws)) for ws in known]
+    needs = [next(m for m in range(len(ws) + 1) if m / len(ws) >= CONFIRM) for ws in sets]
+
+    def held(x: Column) -> Column:
+        each = []
+        for t, (ws, need) in enumerate(zip(sets, needs, strict=True)):
+            # One of any len - need + 1 words is there if need words are.
+            some = sorted(ws, key=len, reverse=True)[: len(ws) - need + 1]
+            one = functools.reduce(lambda a, b: a | b, (x.contains(w) for w in some))
+            count = functools.reduce(lambda a, b: a + b, (x.contains(w).cast("int") for w in ws))
+            each.append(F.when(F.when(one, count).otherwise(0) >= need, F.lit(t)))
+        return F.filter(F.array(*each), lambda t: t.isNotNull())
+
+    # Texts that hold enough of a template's words anywhere are cut into lines of words.
+    wrapped = docs.where(F.col("text").contains("\n")).select("row", F.lower("text").alias("text"), let(F.lower("text"), held).alias("ts"))
+    cut = wrapped.where(F.size("ts") > 0).dropDuplicates(["row"]).select(
+        "row", F.filter(F.transform(lines(F.col("text")), _words), lambda ws: F.size(ws) > 0).alias("ls"), "ts"
+    )
+    table = F.array(*[F.struct(F.array(*map(F.lit, ws)).alias("ws"), F.lit(n).alias("need"), F.lit(len(k)).alias("most")) for ws, n, k in zip(sets, needs, known, strict=True)])
+    of = cut.where(F.size("ls") > 1).select("row", "ls", F.explode("ts").alias("t")).withColumn("t", F.get(table, F.col("t")))
+    ls, n = F.col("ls"), F.size("ls")
+
+    def part(i: Column, count: Column) -> Column:
+        return F.flatten(F.slice(ls, i + 1, count))
+
+    def holds(ws: Column) -> Column:
+        return F.size(F.array_intersect(F.col("t.ws"), ws)) >= F.col("t.need")
+
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.arrays_overlap(F.col("t.ws"), F.get(ls, i)))
+    at = of.where(holds(F.flatten(ls))).select("row", "ls", "t", F.explode(starts).alias("i"))
+    i, j = F.col("i"), F.col("j")
+    last = F.sequence(i, F.least(i + F.col("t.most"), n - 1))
+    ends = at.withColumn("j", F.get(F.filter(last, lambda e: holds(part(i, e - i + 1))), 0)).where(j > i)
+    whole = ends.where((F.size(part(i + 1, j - i - 1)) < F.col("t.most")) & ~holds(part(i + 1, j - i)))
+    return whole.select("row", (-(i.cast("long") * (1 << 31) + j) - 1).alias("paragraph"), part(i, j - i + 1).alias("words")).dropDuplicates(["row", "paragraph"])
 
 
 def classify(found: DataFrame) -> DataFrame:
@@ -203,9 +267,17 @@ def classify(found: DataFrame) -> DataFrame:
     for family, texts in TEMPLATES.items():
         of = F.greatest(*[_found(F.col("words"), tuple(dict.fromkeys(word_list(t)))) for t in texts], F.lit(0.0))
         contained = F.when(F.col("family") == family, of).otherwise(contained)
-    return scored.select(
-        "row", "paragraph", "family", F.coalesce("b.p", F.lit(0.0)).alias("probability"), contained.alias("containment"),
-        F.coalesce(contained >= F.lit(CONFIRM), F.lit(False)).alias("confirmed"),
+    sure = F.coalesce(contained >= F.lit(CONFIRM), F.lit(False))
+    # A short name decides where the model's answer is not confirmed.
+    name = let(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), lambda x: F.coalesce(*[
+        F.when(x.contains(f" {' '.join(word_list(t))} "), F.lit(family)) for family, ts in SHORT.items() for t in ts
+    ]))
+    told = scored.select("row", "paragraph", "family", "b.p", contained.alias("c"), sure.alias("sure"), name.alias("name"))
+    named = ~F.col("sure") & F.col("name").isNotNull()
+    return told.select(
+        "row", "paragraph", F.when(named, F.col("name")).otherwise(F.col("family")).alias("family"),
+        F.when(named, 1.0).otherwise(F.coalesce("p", F.lit(0.0))).alias("probability"),
+        F.when(named, 1.0).otherwise(F.col("c")).alias("containment"), (F.col("sure") | named).alias("confirmed"),
     )
 
 

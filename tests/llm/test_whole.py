@@ -6,7 +6,7 @@ import random
 
 import pandas as pd
 
-from fieldweave.llm import ngram_join, passages
+from fieldweave.llm import license_scan, ngram_join, passages
 
 from .edge import PROSE, edge_docs
 from .test_arrow import groups
@@ -69,3 +69,17 @@ def test_rows_without_a_doc_id_stay(spark):
     kept = ngram_join.one_of_each(docs).collect()
     assert sum(r.doc_id is None for r in kept) == 4 and {6, 1, big} <= {r.doc_id for r in kept} and 7 not in {r.doc_id for r in kept}
     assert not [r for r in passages.digest(docs).collect() if r.doc_id is None]
+
+
+WRAPPED = {
+    "x\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n": "MIT",
+    "# Redistribution and use in source and binary forms, with or without\n#\n# modification, are permitted provided that the following conditions\n# are met:": "BSD",
+    "Licensed under the\nApache License,\nVersion 2.0\n": "Apache-2.0", "MIT License": "MIT", "The MIT License (MIT)": "MIT", "// SPDX-License-Identifier: MIT\nint x;": "MIT",
+    "SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "She renewed her license at MIT.": "unknown", "one\ntwo\nthree": "none",
+}
+
+
+def test_wrapped_notices_and_short_names(spark):
+    rows = list(enumerate(WRAPPED))
+    got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(WRAPPED.values()))
