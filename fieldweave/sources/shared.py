@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,12 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables of one run. ``keep`` writes one, ``free`` deletes those no longer read."""
+    """Tables of one run. ``keep`` writes one, ``free`` deletes those no longer read, and
+    ``close`` all but the given ones, which the run's result still reads."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.kept: list[DataFrame] = []
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -49,6 +52,7 @@ class Scratch:
         writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.kept.append(out)
         return out
 
     def free(self, *tables: DataFrame) -> None:
@@ -56,6 +60,10 @@ class Scratch:
             path = getattr(table, "_scratch_path", None)
             if path:
                 delete(self.spark, path)
+        self.kept = [t for t in self.kept if not any(t is x for x in tables)]
+
+    def close(self, *but: DataFrame) -> None:
+        self.free(*[t for t in self.kept if not any(t is x for x in but)])
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -69,9 +77,15 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """``df`` with a broadcast hint if its counted ``rows`` are at most ``most``.
+#: Bytes up to which a table is broadcast, as estimated from its rows and fields.
+BROADCAST_BYTES = 8 << 20
+
+
+def small(df: DataFrame, rows: int, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its counted ``rows`` take at most ``most`` bytes in a
+    hash table: 32 for a row, 8 for a number and 64 for anything else.
 
     Beyond the bound the table goes without a hint and Spark shuffles both sides.
     """
-    return F.broadcast(df) if rows <= most else df
+    row = 32 + sum(8 if isinstance(f.dataType, NumericType) else 64 for f in df.schema.fields)
+    return F.broadcast(df) if rows * row <= most else df
