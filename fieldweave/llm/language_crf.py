@@ -7,10 +7,13 @@ forward-backward recursions, run for all texts of a batch as one chain that rest
 each text, in blocks: products of a block's matrices first, then the blocks' boundary
 vectors, then the words in all blocks at once. No Python code runs for a word.
 
-Training takes a bounded sample of labelled texts: ``DOCS_PER_LABEL`` of each label, drawn
-by a hash of the text. Their words are labelled by the text's label, cut into segments of
-random lengths and dealt into mixed sequences, so that labels switch. A document's label
-is the one with the largest expected share of its words, which is also its score.
+Training takes a bounded sample of labelled rows: of each label the ``DOCS_PER_LABEL``
+distinct texts that come first by a hash of the text, of a text longer than
+``SEGMENT_CHARS`` a stretch of that length from a place drawn by the same hash, and of a
+label's words random segments of at most ``WORDS_PER_LABEL`` words in all. Words are
+labelled by their text's label; the segments are dealt into mixed sequences, so that labels
+switch. Every label is learned. A document's label is the one with the largest expected
+share of its words, which is also its score; ``word_runs`` gives the labels of the words.
 
 Defined results: a null text or one without a letter is `und` with score 0; with no labelled
 text to learn from every text is `und`; ties go to the label first in the alphabet; repeated
@@ -27,22 +30,22 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shingles import WIDE, chunks, mix, stream, word_hashes
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 15
-#: The sample: texts of each label, labels, words in all.
-DOCS_PER_LABEL, MOST_LABELS, MOST_WORDS = 120, 64, 400_000
+#: The sample: texts of each label, characters of a text, words of a label.
+DOCS_PER_LABEL, SEGMENT_CHARS, WORDS_PER_LABEL = 120, 50_000, 100_000
 LEXICON = 1500
 EPOCHS, RATE, DECAY = 30, 0.15, 1e-4
 BLOCK = 256
 
 _U = np.uint64
 _KEYS = stream(31, max(ORDERS))
-_LETTER = re.compile(r"[^\W\d_]")
+_MAYBE_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -55,6 +58,11 @@ class Model:
     start: np.ndarray  # (labels,), log
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a letter category; numerals such as ² or Ⅷ are not."""
+    return any(m[0].isalpha() for m in _MAYBE_LETTER.finditer(text))
+
+
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """n-gram buckets of the joined words, and where each word's begin. A word stands between
     spaces, so its first and last n-grams differ from those inside."""
@@ -174,21 +182,23 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     m = len(labels)
     empty = Model(labels, np.zeros((len(ORDERS) * BUCKETS, m)), np.zeros(0, _U), np.zeros((0, m)), np.zeros((m, m)), np.zeros(m))
     rng = np.random.default_rng(seed)
-    raws, gold, n_words = [], [], 0
-    for k in rng.permutation(len(samples)):
-        raws.append(lowered(samples[k][0]))
-        gold.append(labels.index(samples[k][1]))
-        n_words += len(raws[-1].split())
-        if n_words >= MOST_WORDS:
-            break
-    if not n_words or m < 2:
-        return empty
+    raws = [lowered(text) for text, _ in samples]
+    gold = [labels.index(label) for _, label in samples]
     at, number, values, g, offset = encode(raws)
+    if not len(number) or m < 2:
+        return empty
     y = np.repeat(gold, np.diff(at))
     # Segments of 5 to 60 words in random order: labels switch between them.
-    cuts = np.cumsum(rng.integers(5, 61, size=n_words // 5 + 1))
-    segments = np.split(np.arange(n_words), cuts[cuts < n_words])
-    order = np.concatenate([segments[k] for k in rng.permutation(len(segments))])
+    cuts = np.cumsum(rng.integers(5, 61, size=len(y) // 5 + 1))
+    segments = np.split(np.arange(len(y)), cuts[cuts < len(y)])
+    drawn, taken = [], np.zeros(m, np.int64)
+    for k in rng.permutation(len(segments)):
+        label = y[segments[k][0]]
+        if taken[label] < WORDS_PER_LABEL:
+            taken[label] += len(segments[k])
+            drawn.append(segments[k])
+    order = np.concatenate(drawn)
+    number, y, n_words = number[order], y[order], len(order)
     fresh = np.zeros(n_words, bool)
     fresh[::500] = True
 
@@ -199,19 +209,17 @@ def train(samples: list[tuple[str, str]], seed: int = 7) -> Model:
     onehot = np.eye(m)[y]
     pair_gold = np.zeros((m, m))
     live = ~fresh[1:]
-    np.add.at(pair_gold, (y[order][:-1][live], y[order][1:][live]), 1)
+    np.add.at(pair_gold, (y[:-1][live], y[1:][live]), 1)
     weights = [model.grams, model.words, model.transitions, model.start]
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in weights]
     of_gram = np.repeat(np.arange(len(values)), np.diff(np.append(offset, len(g))))
     for epoch in range(1, EPOCHS + 1):
-        marginal, pairs = forward_backward(emissions(model, values, g, offset)[number[order]], fresh, model.transitions, model.start)
-        diff = np.empty_like(onehot)
-        diff[order] = onehot[order] - marginal
+        marginal, pairs = forward_backward(emissions(model, values, g, offset)[number], fresh, model.transitions, model.start)
+        diff = onehot - marginal
         of_word = np.stack([np.bincount(number, weights=diff[:, k], minlength=len(values)) for k in range(m)], axis=1)
         d_grams = np.stack([np.bincount(g, weights=of_word[of_gram, k], minlength=len(model.grams)) for k in range(m)], axis=1)
         d_words = of_word[best]
-        first = order[fresh]
-        for w, d, (mean, square) in zip(weights, (d_grams, d_words, pair_gold - pairs, diff[first].sum(axis=0)), state, strict=True):
+        for w, d, (mean, square) in zip(weights, (d_grams, d_words, pair_gold - pairs, diff[fresh].sum(axis=0)), state, strict=True):
             d = d / n_words - DECAY * w
             mean += 0.1 * (d - mean)
             square += 0.01 * (d * d - square)
@@ -244,7 +252,7 @@ def _predict(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
                     sums = np.concatenate([np.zeros((1, len(model.labels))), np.cumsum(marginal, axis=0)])
                     for k in range(len(at) - 1):
                         n = at[k + 1] - at[k]
-                        if n and _LETTER.search(texts[first + k]):
+                        if n and has_letter(texts[first + k]):
                             share = (sums[at[k + 1]] - sums[at[k]]) / n
                             best = int(share.argmax())
                             label[first + k], score[first + k] = model.labels[best], min(1.0, max(0.0, float(share[best])))
@@ -254,15 +262,17 @@ def _predict(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
 
 
 def sample(labelled: DataFrame, text: str = "text", label: str = "lang") -> list[tuple[str, str]]:
-    """About DOCS_PER_LABEL texts of each label, by a hash of the text; counts cover all rows."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(label).count().orderBy(F.col("count").desc(), label).limit(MOST_LABELS).collect()
-    draw = F.pmod(F.xxhash64(F.lit("draw"), F.col(text)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.lit(0.0)
-    for value, n in counts:
-        share = F.when(F.col(label) == value, F.lit(min(1.0, DOCS_PER_LABEL / n))).otherwise(share)
-    drawn = rows.where(draw < share).select(text, label).limit(2 * DOCS_PER_LABEL * max(1, len(counts))).collect()
-    return sorted((r[0], r[1]) for r in drawn)
+    """The training rows; the same whatever the order of the table or the number of copies."""
+    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(F.lit("draw"), F.col(text)).alias("h")
+    )
+    # Each task keeps the first of its own rows of a label before anything is shuffled.
+    first = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    drawn = rows.select("label", "h").distinct().withColumn("r", first).where(F.col("r") <= DOCS_PER_LABEL).select("label", "h")
+    start = F.pmod(F.xxhash64(F.lit("start"), F.col("text")), F.length("text") - SEGMENT_CHARS + 1).cast("int")
+    part = F.when(F.length("text") > SEGMENT_CHARS, F.substring("text", start + 1, F.lit(SEGMENT_CHARS))).otherwise(F.col("text"))
+    texts = rows.join(F.broadcast(drawn), ["label", "h"], "left_semi").groupBy("label", "h").agg(F.min(part).alias("text"))
+    return sorted((r.text, r.label) for r in texts.select("text", "label").collect())
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFrame:
@@ -273,6 +283,35 @@ def predict(docs: DataFrame, model: Model, keep: list[str | Column]) -> DataFram
     return rows.mapInPandas(_predict(docs.sparkSession.sparkContext.broadcast(parts)), schema)
 
 
+def _runs(shared: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = Model(*shared.value)
+        for batch in batches:
+            texts, ids = batch["text"].tolist(), batch["doc_id"].to_numpy()
+            for first, marginal, at in label_texts(model, texts) if model.labels else ():
+                best = marginal.argmax(axis=1)
+                new = np.concatenate([[True], best[1:] != best[:-1]])
+                new[at[:-1][np.diff(at) > 0]] = True
+                starts = np.flatnonzero(new)
+                text = np.searchsorted(at, starts, "right") - 1
+                ends = np.append(starts[1:], len(best))
+                score = np.add.reduceat(marginal[np.arange(len(best)), best], starts) / (ends - starts) if len(starts) else starts
+                yield pd.DataFrame({
+                    "doc_id": ids[first + text], "start": starts - at[text], "end": ends - at[text],
+                    "lang_pred": [model.labels[k] for k in best[starts]], "score": np.minimum(score, 1.0),
+                })
+
+    return run
+
+
+def word_runs(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, start, end, lang_pred, score): the runs of words of one language in each
+    text, by the words' marginals; ``score`` is their mean."""
+    parts = (model.labels, model.grams, model.lexicon, model.words, model.transitions, model.start)
+    named = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    return named.mapInPandas(_runs(docs.sparkSession.sparkContext.broadcast(parts)), "doc_id long, start long, end long, lang_pred string, score double")
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
 
