@@ -15,8 +15,8 @@ The ids are those of the vocabulary's own tokenizer. Texts of Latin letters go t
 faster encoder of the same ranks, others through the tokenizer itself.
 
 Defined results: a null or empty text is the separator alone; rows that repeat a doc_id are
-packed each by itself; an empty table gives no pieces; further columns are not read;
-strings of special tokens are ordinary text.
+packed each by itself; an empty table gives no pieces; further columns are not read; a
+text that holds a special token's string gets that token, as the tokenizer gives it.
 """
 
 from __future__ import annotations
@@ -70,12 +70,13 @@ class Encoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.whole = Tokenizer.from_str(vocabulary.tokenizer)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self._added = re.compile("|".join(map(re.escape, added)) if added else r"(?!)")
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.ranks.splitlines())}
         self.fast = tiktoken.Encoding("own", pat_str=vocabulary.pattern, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self._plain.match(text):
+        if self._plain.match(text) and not self._added.search(text):
             return self.fast.encode_ordinary(text)
         return self.whole.encode(text, add_special_tokens=False).ids
 
@@ -181,7 +182,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     on = (F.col("length") == F.col("_length")) & (F.col("_r") >= F.col("_lo")) & (F.col("_r") < F.col("_hi"))
     i = F.col("_r") - F.col("_lo")
     return (
-        ranked.join(small(plan, len(matches), 1_000_000), on)
+        ranked.join(small(plan, len(matches)), on)
         .withColumn("sequence_id", F.col("_base") + F.floor(i / F.col("_per")).cast("long"))
         .withColumn("offset", F.col("_offset") + F.pmod(i, F.col("_per")) * F.col("length"))
         .drop("_r", "_before", *plan.columns)
