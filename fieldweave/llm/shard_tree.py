@@ -6,9 +6,11 @@ in (0, 1) from a hash of the document's id and the child's name, and the largest
 wins. A child's draw depends on its own name and weight alone, so changing a weight can
 only move documents into or out of the subtrees whose weights changed.
 
-The law is `key`: id and tree decide. The default tree fills regions of ``REGION_SHARDS``;
-a shard that opens a region is drawn against the old regions alone, so it takes documents
-only into itself. (A shard added inside a region confines all moves to that region.)
+The default tree fills regions of ``REGION_SHARDS``. Where the next shard opens a region, the
+law is `key`: id and shard count decide, and as the new region is drawn against the old ones
+alone, one more shard takes documents only into itself. At other counts the next shard
+stands inside a region, moves are confined to that region's subtree, and the law is named
+`subtree`.
 
 Defined results: a null text has no bytes (size 1, crc32 0); a null id draws as the text
 "null"; rows that repeat an id share its shard and get slots of their own; ties of draws
@@ -93,7 +95,7 @@ def with_slots(placed: DataFrame, n_shards: int, shard: str = "shard", order: st
     before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col(shard).alias("_s"), F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     numbered = parted.withColumn("_i", F.row_number().over(Window.partitionBy(shard, "_part").orderBy(order)) - 1)
-    starts = small(starts, n_shards * n, 1_000_000)  # a row for each shard and part at most
+    starts = small(starts, n_shards * n)  # a row for each shard and part at most
     return (
         numbered.join(starts, F.col(shard).eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p")))
         .withColumn("slot", (F.col("_start") + F.col("_i")).cast("long")).drop("_part", "_i", "_s", "_p", "_start")
@@ -108,7 +110,7 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, weights: dict[int, float]
         "doc_id",
         (F.length(raw) + 1).cast("long").alias("size"),
         F.crc32(raw).alias("text_crc32"),
-        F.lit("key").alias("law"),
+        F.lit("subtree" if n_shards % REGION_SHARDS else "key").alias("law"),
         shard_of(F.col("doc_id"), now).alias("shard"),
         shard_of(F.col("doc_id"), grown).alias("grown_shard"),
     )
