@@ -2,11 +2,13 @@ r"""Line dedup over levelled sorted runs (DataFrame functions only).
 
 The corpus is taken in batches. ``LineRuns`` holds what earlier batches contained as runs:
 tables of (line hash, documents holding it, largest of their ids), bucketed and sorted by
-the hash. A new batch is counted by hash, merge-anti-joined with every run to tell the
-lines nobody held before, and becomes a run of level 0. Two runs of one level are merged
+the hash. A new batch is counted by hash and merge-anti-joined with every run: the lines
+that nobody held before become a run of level 0, so that a line stands in one run only; the
+others are increments, kept in levels of their own. Two tables of one level are merged
 into one of the next by a sort-merge full join; as both are bucketed alike, neither the
-joins nor the merges move a run's rows again. After the last batch one merge leaves the
-totals, and lines found in ``min_docs`` documents go everywhere but in the largest one.
+joins nor the merges move a table's rows again. After the last batch the runs and the
+increments are merged into the totals, and lines found in ``min_docs`` documents go
+everywhere but in the largest one.
 
 A line is known by 128 bits of hash. doc_id is the key of a document: rows that repeat
 one count as one document, and each row loses the same lines if its text is the same.
@@ -47,12 +49,14 @@ def hashed_lines(docs: DataFrame, n_batches: int, min_chars: int = 20) -> DataFr
 
 
 class LineRuns:
-    """Runs of (k1, k2, n_docs, keep_doc) by level; ``fanout`` 2: two of a level merge."""
+    """``runs`` and ``increments`` of (k1, k2, n_docs, keep_doc) by level; ``fanout`` 2: two of
+    a level merge. A line is in one of the runs, that of the batch that first held it."""
 
     def __init__(self, scratch: Scratch):
         self.scratch, self.spark = scratch, scratch.spark
         self.buckets = partitions(self.spark)
-        self.levels: dict[int, DataFrame] = {}
+        self.runs: dict[int, DataFrame] = {}
+        self.increments: dict[int, DataFrame] = {}
 
     def _run(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written bucketed and sorted by the hash, one file a bucket."""
@@ -69,24 +73,31 @@ class LineRuns:
         self.spark.sql(f"DROP TABLE IF EXISTS {run._table}")
         self.scratch.free(run)
 
-    def add(self, batch: DataFrame) -> tuple[int, int]:
-        """Take a batch of (doc_id, k1, k2): counted by line, merge-anti-joined with the runs
-        there are, and added as one. Gives its lines, and those that no earlier batch held."""
+    def add(self, batch: DataFrame) -> None:
+        """Take a batch of (doc_id, k1, k2): count it by line and add what the merge-anti-join
+        with the runs leaves as a run, the rest as an increment."""
         counts = (
             batch.groupBy(*K, "doc_id").agg(F.lit(1).alias("one"))
             .groupBy(*K).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
         )
-        run = self._run(counts, "batch")
-        unseen = run
-        for earlier in self.levels.values():
-            unseen = unseen.join(earlier.hint("merge"), K, "left_anti")
-        n, n_new = run.count(), unseen.count()
+        if not self.runs:
+            self._place(self.runs, self._run(counts, "run"))
+            return
+        counted = self._run(counts, "batch")
+        unseen = counted
+        for earlier in self.runs.values():
+            unseen = unseen.join(earlier.select(*K).hint("merge"), K, "left_anti")
+        fresh = self._run(unseen, "run")
+        self._place(self.increments, self._run(counted.join(fresh.select(*K).hint("merge"), K, "left_anti"), "increment"))
+        self._place(self.runs, fresh)
+        self._drop(counted)
+
+    def _place(self, levels: dict[int, DataFrame], run: DataFrame) -> None:
         level = 0
-        while level in self.levels:
-            run = self._merge(self.levels.pop(level), run)
+        while level in levels:
+            run = self._merge(levels.pop(level), run)
             level += 1
-        self.levels[level] = run
-        return n, n_new
+        levels[level] = run
 
     def _merge(self, a: DataFrame, b: DataFrame) -> DataFrame:
         x, y = a.alias("x"), b.hint("merge").alias("y")
@@ -102,14 +113,20 @@ class LineRuns:
         return out
 
     def compact(self) -> DataFrame:
-        """All runs merged into one, smallest first."""
-        runs = [self.levels[k] for k in sorted(self.levels)]
-        merged = runs[0]
-        for run in runs[1:]:
+        """All runs and increments merged into one table of totals, smallest first."""
+        each = [levels[k] for levels in (self.increments, self.runs) for k in sorted(levels)]
+        merged = each[0]
+        for run in each[1:]:
             merged = self._merge(merged, run)
-        self.levels = {max(self.levels): merged}
+        self.runs, self.increments = {max(self.runs): merged}, {}
         return merged
 
+    def close(self) -> None:
+        """Drop all tables."""
+        for run in [*self.runs.values(), *self.increments.values()]:
+            self._drop(run)
+        self.runs, self.increments = {}, {}
+
 
 def repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batches: int = 4) -> DataFrame:
     """(doc_id, row_hash, drops): the ascending positions that each document's text loses."""
@@ -126,10 +143,14 @@ def repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_ba
     hot = F.broadcast(totals.where(F.col("n_docs") >= common))
     rest = hashed.join(hot.select(*K), K, "left_anti").join(totals.where(F.col("n_docs") < common), K)
     found = hashed.join(hot, K).unionByName(rest)
-    return (
+    drops = (
         found.where(F.col("doc_id") != F.col("keep_doc")).select("doc_id", "row_hash", "pos").distinct()
         .groupBy("doc_id", "row_hash").agg(F.sort_array(F.collect_list("pos")).alias("drops"))
     )
+    out = scratch.keep(drops, "drops")
+    runs.close()
+    scratch.close(out)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, n_batches: int = 4) -> DataFrame:
