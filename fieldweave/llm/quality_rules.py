@@ -11,11 +11,13 @@ the input are not read and do not clash, as the ledger holds its own columns onl
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import Scratch
 from .text import SPACE_CHARS, UPPER, let, lines, n_of, without, words
 
 SYMBOLS = "#*$%&|<>"
@@ -184,9 +186,20 @@ def ablations(entries: DataFrame, policy: Policy = POLICY) -> DataFrame:
     )
 
 
+def store_ledger(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """The ledger, written once to the shared folder: policies and ablations read it there."""
+    return (scratch or Scratch(docs.sparkSession, "ledger")).keep(ledger(docs), "ledger")
+
+
+def compare_policies(entries: DataFrame, policies: tuple[Policy, ...] = (BASE_POLICY, POLICY)) -> DataFrame:
+    """The ablations of several policy versions over one stored ledger, by ``policy``."""
+    each = [ablations(entries, p).withColumn("policy", F.lit(p.version)) for p in policies]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
 def digest(docs: DataFrame, policy: Policy = POLICY) -> DataFrame:
-    """The ledger's entry of each document with the base verdict and the policy's."""
-    entries = apply_policy(ledger(docs), policy)
+    """The stored ledger's entry of each document with the base verdict and the policy's."""
+    entries = apply_policy(store_ledger(docs), policy)
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (F.col("fail_bits").bitwiseAND(F.lit(BASE_POLICY.mask)) != 0).alias("base_failed"),

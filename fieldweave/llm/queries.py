@@ -54,10 +54,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two policy versions costs, from one stored ledger."""
+    return quality_rules.compare_policies(quality_rules.store_ledger(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     each = (
         op1_language_crf, op2_ngram_join, op3_license_scan, op4_substring_dedup, op5_personal_data,
-        op6_shard_tree, op7_best_fit_packing, op8_line_dedup, op9_quality_rules, op10_decontamination,
+        op6_shard_tree, op7_best_fit_packing, op8_line_dedup, op9_quality_rules, op10_decontamination, quality_ablations,
     )
     return {f.__name__: f for f in each}
 

@@ -31,6 +31,18 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM b
 """
 
+_RULES = ("few_words", "repeated_words", "symbols", "repeated_lines", "short_words", "long_words", "upper_case", "exclamations")
+_POLICIES = ", ".join(
+    f"('{version}', '{rule}', {1 << k}::BIGINT, {mask}::BIGINT)" for version, n, mask in (("base-1", 2, 3), ("full-1", 8, 255)) for k, rule in enumerate(_RULES[:n])
+)
+
+ABLATIONS = f"""
+WITH e AS ({OP9}), p(policy, rule, bit, mask) AS (VALUES {_POLICIES})
+SELECT policy, rule, bit, count(*) FILTER (WHERE fail_bits & bit <> 0) AS n_failed, count(*) FILTER (WHERE fail_bits & mask = bit) AS n_failed_alone,
+  count(*) FILTER (WHERE fail_bits & mask & (255 - bit) = 0) AS n_kept_without
+FROM e, p GROUP BY ALL
+"""
+
 KEY = f"translate(trim(line, {SPACES}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP8 = f"""
@@ -79,4 +91,4 @@ SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_item) AS n_item, count
 FROM q JOIN s USING (m, gram) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n_item)
 """
 
-ORACLE = {"op10_decontamination": OP10, "op2_ngram_join": OP2, "op8_line_dedup": OP8, "op9_quality_rules": OP9}
+ORACLE = {"op10_decontamination": OP10, "op2_ngram_join": OP2, "op8_line_dedup": OP8, "op9_quality_rules": OP9, "quality_ablations": ABLATIONS}
