@@ -8,16 +8,21 @@ values (bands of one row). A document that met an item is verified on the spot:
 contaminated if it holds PERCENT of the item's distinct shingles.
 
 An item of fewer than five words is one shingle of its own length and is looked up among
-the document's shingles of that length. Items travel to the tasks in blocks of at most
-``ITEM_BLOCK``; documents are read once for a block.
+the document's shingles of that length. Items travel to the tasks in blocks of about
+``ITEM_BLOCK`` items and ``BLOCK_BYTES`` of text, one block at a time: its results are written
+and it is given up before the next one is made. Documents are read once for a block, and a
+Python worker builds a block's tables once for all of its tasks.
 
 Defined results: null or wordless texts and items contain nothing and are in nothing; rows
-that repeat a doc_id or item_id give a pair once; empty tables give no pairs; further
+that repeat a doc_id or item_id give a pair once, with the counts of the text that is
+contained best; a null doc_id or item_id is a value like others; ``decontaminate`` goes by
+texts, so neither nulls nor repeated ids save a row; empty tables give no pairs; further
 columns are not read. Case A-Z is ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,7 +39,7 @@ PERCENT = 75
 #: MinHash values of an item. At the least similarity of a whole item to its stretch, 1/4,
 #: 40 values miss one in 100,000; at that of three quarters of one, 3/17, one in 2,300.
 BANDS = 40
-ITEM_BLOCK = 50_000
+ITEM_BLOCK, BLOCK_BYTES = 50_000, 32 << 20
 
 _U = np.uint64
 _FACTORS = stream(11, BANDS)
@@ -145,34 +150,64 @@ def _pairs(texts: list[str | None], items: Items) -> Iterator[tuple[int, int, in
                 yield first + d, k, shared, n
 
 
-def _search(block: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+_built: dict[str, Items] = {}
+
+
+def _items(name: str, block: Broadcast) -> Items:
+    """The tables of a block, which the worker keeps until it meets another block."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Items(block.value)
+    return _built[name]
+
+
+def _search(name: str, block: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = Items(block.value)
+        items = _items(name, block)
         for batch in batches:
-            ids = batch["doc_id"].tolist()
-            rows = [(ids[i], items.ids[k], shared, n) for i, k, shared, n in _pairs(batch["text"].tolist(), items)]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_shared", "n_item"])
+            ids = batch[["k1", "k2"]]
+            rows = [(i, items.ids[k], shared, n) for i, k, shared, n in _pairs(batch["text"].tolist(), items)]
+            found = pd.DataFrame(rows, columns=["row", "item_id", "n_shared", "n_item"]).astype({"item_id": "Int64"})
+            yield pd.concat([ids.iloc[found.pop("row").to_numpy(np.int64)].reset_index(drop=True), found], axis=1)
 
     return run
 
 
+def _found(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, k2, item_id, n_shared, n_item) of ``docs`` (k1, k2, text) and the items in them."""
+    spark, out = docs.sparkSession, None
+    wanted = scratch.keep(items.where("text is not null").distinct().withColumn("h", F.xxhash64("item_id", "text")), "items")
+    n, size = wanted.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_blocks = max(1, -(-n // ITEM_BLOCK), -(-size // BLOCK_BYTES))
+    for b in range(n_blocks):
+        rows = [(r[0], r[1]) for r in wanted.where(F.pmod("h", F.lit(n_blocks)) == b).select("item_id", "text").toLocalIterator()]
+        block = spark.sparkContext.broadcast(rows)
+        hits = docs.mapInPandas(_search(uuid.uuid4().hex, block), "k1 long, k2 long, item_id long, n_shared long, n_item long")
+        hits = scratch.keep(hits, "hits")
+        block.destroy()
+        out = hits if out is None else out.union(hits)
+    return out
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of every item found in a document."""
-    spark = docs.sparkSession
-    wanted = benchmark.select("item_id", "text").dropDuplicates(["item_id"]).where("item_id is not null")
-    n_blocks = max(1, -(-wanted.count() // ITEM_BLOCK))
-    found = None
-    for b in range(n_blocks):
-        rows = [(r[0], r[1]) for r in wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect()]
-        part = docs.select("doc_id", "text").mapInPandas(_search(spark.sparkContext.broadcast(rows)), "doc_id long, item_id long, n_shared long, n_item long")
-        found = part if found is None else found.union(part)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_shared").alias("n_shared"), F.max("n_item").alias("n_item")).withColumn(
-        "containment", F.col("n_shared") / F.col("n_item")
-    )
+    scratch = Scratch(docs.sparkSession, "contamination")
+    # A null would make the ids of its batch floats, which 64-bit ids do not survive.
+    keyed = docs.select(F.coalesce("doc_id", F.lit(0)).cast("long").alias("k1"), F.col("doc_id").isNull().cast("long").alias("k2"), "text")
+    found = _found(keyed, benchmark.select("item_id", "text"), scratch)
+    best = F.struct((F.col("n_shared") / F.col("n_item")).alias("containment"), "n_shared", "n_item")
+    pairs = found.groupBy("k1", "k2", "item_id").agg(F.max(best).alias("b"))
+    return pairs.select(F.when(F.col("k2") == 0, F.col("k1")).alias("doc_id"), "item_id", "b.n_shared", "b.n_item", "b.containment")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that contain a benchmark item."""
-    scratch = Scratch(docs.sparkSession, "contamination")
-    hit = scratch.keep(contained_items(docs, benchmark).select("doc_id").distinct(), "hit")
-    return docs.join(small(hit, hit.count(), 2_000_000), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the rows whose text contains a benchmark item. Texts are known by 128
+    bits of hash, so a row needs no id."""
+    scratch = Scratch(docs.sparkSession, "decontamination")
+    text = F.coalesce("text", F.lit(""))
+    keys = {"__text_h1": F.xxhash64(text), "__text_h2": F.xxhash64(F.lit("second"), text)}
+    keyed = docs.select(*[e.alias(k) for k, e in zip(("k1", "k2"), keys.values(), strict=True)], "text")
+    found = _found(keyed, benchmark.select("item_id", "text"), scratch)
+    hit = scratch.keep(found.select(F.col("k1").alias("__text_h1"), F.col("k2").alias("__text_h2")).distinct(), "hit")
+    scratch.close(hit)
+    return docs.withColumns(keys).join(small(hit, hit.count()), list(keys), "left_anti").select(*docs.columns)
