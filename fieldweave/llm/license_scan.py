@@ -1,15 +1,20 @@
 """Licence notices in documents (DataFrame functions only).
 
-A line of the text is a proposal if it holds one of the ``ANCHORS``. Neighbouring lines
-are a joined proposal if together, and without any one at their ends, they hold ``CONFIRM``
-of a template's words: a notice may be wrapped anywhere. Whatever could be confirmed is so
-proposed; any other line is of the unknown class. Proposals are classified by multinomial
-logistic regression over the presence of word 1- to 3-grams, and a family is believed if
-its probability reaches the threshold calibrated for it. A template comparison then
-confirms the prediction: ``CONFIRM`` of the template's distinct words occur in the
-paragraph. Where it does not, a ``SHORT`` name that stands in the paragraph word for word
-gives the family, with probability 1. The model is trained here from the templates below, in thousands of random
-variants, against paragraphs of the unknown class; it is small and of fixed size, and
+A paragraph is a line of the text, or neighbouring lines that together, and without any one
+at their ends, hold ``CONFIRM`` of a template's words: a notice may be wrapped anywhere, and
+comment signs are no words. Paragraphs are classified by multinomial logistic regression
+over the presence of word 1- to 3-grams, and a family is believed if its probability reaches
+the threshold calibrated for it. A template comparison then confirms the prediction:
+``CONFIRM`` of a template's distinct words occur in the paragraph, or one of the family's
+names stands in it word for word. Lines that hold none of ``ANCHORS`` are not scored: every
+name holds one of them, and templates have their own search, so nothing else could be
+confirmed.
+
+The model is trained here, in plain Python on the driver, from wordings: the templates and
+names below inside sentences that state a licence, and sentences about other things. The
+sentences are dealt into three parts: one trains the model, one (with other names of unknown
+licences and other distances from the template) calibrates the thresholds, and the last,
+seen by neither, measures it (``evaluate``). The model is small and of fixed size, and
 scoring is a broadcast join of the proposals' n-grams with its weights.
 
 Defined results: a null or empty text has no proposals, its licence is `none`; a text whose
@@ -34,75 +39,156 @@ from .text import let, lines
 UNKNOWN = "unknown"
 #: The notices of each family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
-    "AGPL-3.0": ("This program is licensed under the GNU Affero General Public License, version 3.",),
+    "AGPL-3.0": (
+        "This program is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU Affero General Public License along with this program.",
+    ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed to the Apache Software Foundation under one or more contributor license agreements.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ),
     "BSD": (
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC0-1.0": ("Licensed under CC0 1.0.", "To the extent possible under law, the author has dedicated this work to the public domain.", "This work is in the public domain."),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software under the terms of the GNU GPL version 2 or later."),
-    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU GPL version 3 or later."),
-    "LGPL": ("This library is licensed under the GNU Lesser General Public License.",),
+    "CC0-1.0": (
+        "Licensed under CC0 1.0.", "To the extent possible under law, the author has dedicated this work to the public domain.", "This work is in the public domain.",
+        "To the extent possible under law, the authors have waived all copyright and related or neighboring rights to this work.",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.", "This program is free software under the terms of the GNU GPL version 2 or later.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "GPL-3.0": (
+        "This work is licensed under the GNU General Public License, version 3.", "This program is free software under the terms of the GNU GPL version 3 or later.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "LGPL": (
+        "This library is licensed under the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    ),
     "MIT": (
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "Proprietary": (
+        "All rights reserved.", "Copyright, all rights reserved. No part may be reproduced without written permission.",
+        "This software is confidential and proprietary. Unauthorized copying of this file, via any medium, is strictly prohibited.",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
-    "Proprietary": ("All rights reserved.", "Copyright, all rights reserved. No part may be reproduced without written permission."),
-}
-_SPDX = {
-    "AGPL-3.0": ("AGPL-3.0",), "Apache-2.0": ("Apache-2.0",), "BSD": ("BSD-2-Clause", "BSD-3-Clause"), "CC-BY-4.0": ("CC-BY-4.0",),
-    "CC-BY-NC-4.0": ("CC-BY-NC-4.0",), "CC-BY-SA-4.0": ("CC-BY-SA-4.0",), "CC0-1.0": ("CC0-1.0",), "GPL-2.0": ("GPL-2.0",),
-    "GPL-3.0": ("GPL-3.0",), "LGPL": ("LGPL-2.1", "LGPL-3.0"), "MIT": ("MIT",), "MPL-2.0": ("MPL-2.0",), "Proprietary": (),
 }
-#: Names that state a licence by themselves, confirmed word for word.
-SHORT: dict[str, tuple[str, ...]] = {
-    family: (
-        *(f"SPDX-License-Identifier: {i}{end}" for i in ids for end in (("", "-only", "-or-later") if "GPL" in i else ("",))),
-        *(("MIT License", "The MIT License (MIT)") if family == "MIT" else ()),
-    )
-    for family, ids in _SPDX.items()
-}
-#: Sentences near the subject that state no licence.
+#: Names of each family, as words; "licence" is read as "license".
+NAMES: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("agpl-3.0", "agpl-3.0-only", "agpl-3.0-or-later", "agplv3", "agpl v3", "agpl version 3", "affero general public license", "affero gpl"),
+    "Apache-2.0": ("apache-2.0", "apache 2.0", "apache license 2.0", "apache license version 2.0", "apache license v2.0", "apache software license 2.0", "apache 2 license", "asl 2.0"),
+    "BSD": ("bsd license", "bsd-2-clause", "bsd-3-clause", "2-clause bsd", "3-clause bsd", "new bsd", "simplified bsd", "modified bsd", "bsd-style license", "bsd terms"),
+    "CC-BY-4.0": ("cc by 4.0", "cc-by 4.0", "cc-by-4.0", "creative commons attribution 4.0"),
+    "CC-BY-NC-4.0": ("cc by-nc 4.0", "cc by nc 4.0", "cc-by-nc 4.0", "cc-by-nc-4.0", "creative commons attribution-noncommercial 4.0"),
+    "CC-BY-SA-4.0": ("cc by-sa 4.0", "cc by sa 4.0", "cc-by-sa 4.0", "cc-by-sa-4.0", "creative commons attribution-sharealike 4.0"),
+    "CC0-1.0": ("cc0 1.0", "cc0-1.0", "cc0", "creative commons zero", "public domain dedication"),
+    "GPL-2.0": ("gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gplv2", "gpl v2", "gpl version 2", "gpl 2.0", "general public license version 2", "general public license v2"),
+    "GPL-3.0": ("gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "gplv3", "gpl v3", "gpl version 3", "gpl 3.0", "general public license version 3", "general public license v3"),
+    "ISC": ("isc license", "isc-style license", "isc terms", "spdx-license-identifier isc"),
+    "LGPL": ("lgpl", "lgpl-2.1", "lgpl-2.1-only", "lgpl-2.1-or-later", "lgpl-3.0", "lgpl-3.0-only", "lgpl-3.0-or-later", "lgplv2.1", "lgplv3", "lesser general public license"),
+    "MIT": ("mit license", "mit-license", "mit-licensed", "mit terms", "spdx-license-identifier mit", "license mit", "under mit", "expat license", "x11 license"),
+    "MPL-2.0": ("mpl-2.0", "mpl 2.0", "mplv2", "mozilla public license 2.0", "mozilla public license version 2.0", "mozilla public license v2.0"),
+    "Proprietary": ("all rights reserved", "proprietary license", "proprietary and confidential"),
+}
+#: Sentences that state a licence by its name, and sentences near the subject
+#: that state none; place k of a list is for training, calibration or the last measure by k mod 3.
+STATEMENTS = (
+    "Licensed under the {}.", "Released under {}.", "This file is free software under the {}.", "SPDX-License-Identifier: {}", "License: {}", "Distributed under the {} terms.", "{}",
+    "Published under the terms of the {}.", "You may use it under the {}.", "This project uses the {}.", "The code is available under {} only.", "Covered by the {}; see the file for details.",
+    "Made available under the {} by its authors.", "This package is {} software.", "Its licence is the {}.",
+)
 OTHERS = (
-    "The driver must hold a valid license to drive a car.", "Her license plate was found on the road.", "He was granted permission to leave the room early.",
-    "The author has the right to publish the work in print.", "A public general meeting of the work council takes place in version two of the plan.",
-    "Fishing requires a license from the county.", "The copyright law of the country was changed last year.", "They have reserved all rooms for the conference.",
-    "The rights of workers were debated in public.", "The Apache people lived in the southwest.", "She studied at MIT for four years.",
-    "Terms and conditions were discussed at length.", "The licence fee rose again.", "No permission was needed to enter.", "The library is open to the general public.",
-    "This paragraph reports on software that anyone may redistribute or sell.",
+    "The driver must hold a valid license to drive a car.", "Fishing requires a license from the county.", "The licence fee rose again.",
+    "Her license plate was found on the road.", "The pub lost its licence to sell beer last year.", "She renewed her licence at the town hall.",
+    "He was granted permission to leave the room early.", "No permission was needed to enter.", "They asked for permission to build a house.",
+    "The author has the right to publish the work in print.", "The copyright law of the country was changed last year.", "A lawyer explained copyright to the class.",
+    "A public general meeting of the work council takes place in version two of the plan.", "The library is open to the general public.", "The public library has a new version of the map.",
+    "They have reserved all rooms for the conference.", "All seats were reserved for members.", "The rights of workers were debated in public.",
+    "The Apache people lived in the southwest.", "She studied at MIT for four years.", "Students of the MIT built a small robot.",
+    "Terms and conditions were discussed at length.", "This paragraph reports on software that anyone may redistribute or sell.", "The wealth was redistributed under the new terms.",
+    "The Mozilla team met in the spring.", "An Apache helicopter crossed the valley.", "The gnu is an antelope of the open plains.",
+    "Creative people share common rooms in the old town.", "The commons were open to all creative minds.", "A creative work may be in common use without attribution.",
+    "He holds a pilot license and a master of science.", "The company was licensed to run the ferry.", "Doctors are licensed by the state.",
 )
-#: Stems that make a line a proposal by itself; every short name holds one.
-ANCHORS = ("licen", "rights reserved", "public domain", "permission", "redistribut", "gnu gpl", "copyright")
-SPREAD, EPOCHS, RATE, DECAY = 60, 60, 0.5, 1e-3
-CONFIRM = 0.8
+#: What a line must hold to be a paragraph by itself; every name holds one.
+ANCHORS = (
+    "licen", "rights reserved", "public domain", "permission", "redistribut", "gpl", "copyright", "apache", "bsd", "cc by", "cc-by", "cc0", "creative commons", "mozilla",
+    "mpl", "spdx", "asl 2", "proprietary", "isc terms", "mit terms", "under mit", "warrant",
+)
+#: Unigrams that say nothing.
+STOP = frozenset("a all an and any are as at be by for from in is it its may of on one or that the this to was were which with you".split())
+SPREAD, EPOCHS, RATE, DECAY = 14, 6, 0.5, 1e-3
+CONFIRM, SURE = 0.8, 0.97
 N_GRAMS = 3
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 _JAVA_WORD = r"([a-z0-9]+(?:[.-][a-z0-9]+)*)"
+TRAIN, CALIBRATE, MEASURE = range(3)
 
 
 def word_list(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(text.lower().replace("licence", "license"))
 
 
 def n_grams(words: list[str]) -> set[str]:
-    return {" ".join(words[i : i + n]) for n in range(1, N_GRAMS + 1) for i in range(len(words) - n + 1)}
+    grams = {" ".join(words[i : i + n]) for n in range(1, N_GRAMS + 1) for i in range(len(words) - n + 1)}
+    return grams - STOP
 
 
-def _variants(text: str, rng: random.Random, filler: list[str]) -> list[str]:
-    """The template, alone and inside other words, with at most one word in ten lost."""
-    words, out = text.split(), [text]
-    for _ in range(SPREAD):
-        own = [w for w in words if rng.random() > 0.1 * (len(words) > 12)]
-        before, after = (rng.sample(filler, rng.randint(0, 12)) for _ in range(2))
-        out.append(" ".join([*before, *own, *after]))
+@functools.cache
+def _common(word: str) -> bool:
+    """Whether the word stands in templates of several families, or in none; numbers do not count."""
+    held = [any(w in word_list(t) for t in ts) for ts in TEMPLATES.values() for w in word_list(word)]
+    return not any(map(str.isdigit, word)) and sum(held) != 1
+
+
+def _made_up(rng: random.Random) -> str:
+    return "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(3))
+
+
+def _around(text: str, rng: random.Random, lost: float) -> str:
+    """``text`` inside other words; a long one loses a share of the words that several
+    families have."""
+    words = text.split()
+    own = [w for w in words if not _common(w) or rng.random() > lost * (len(words) > 12)]
+    fill = [w for t in OTHERS for w in t.split()]
+    before, after = ([rng.choice(fill) if rng.random() < 0.4 else _made_up(rng) for _ in range(rng.choice((0, 0, 3, 12)))] for _ in range(2))
+    return " ".join([*before, *own, *after])
+
+
+def wordings(part: int, seed: int = 5) -> list[tuple[str, str]]:
+    """(text, family) of one part: no sentence around a name, no unknown licence and no
+    sentence about other things is in two parts."""
+    rng = random.Random(seed + part)
+    frames, others = STATEMENTS[part::3], OTHERS[part::3]
+    out = []
+    for family, names in NAMES.items():
+        out += [(_around(frame.format(name), rng, 0), family) for name in names for frame in frames for _ in range(2)]
+        if part != MEASURE:  # templates are known to the comparison, so they measure nothing
+            out += [(_around(t, rng, (0.1, 0.15)[part]), family) for t in TEMPLATES[family] for _ in range(SPREAD)]
+    out += [(_around(t, rng, 0), UNKNOWN) for t in others for _ in range(2 * SPREAD)]
+    for frame in frames:
+        for _ in range(3 * SPREAD):
+            name = rng.choice(("{} License", "{} Public License", "{} Licence, version {}", "{} General License {}")).format(_made_up(rng).title(), rng.randint(1, 9))
+            out.append((_around(frame.format(name), rng, 0), UNKNOWN))
     return out
 
 
@@ -112,25 +198,16 @@ class Model:
     def __init__(self, seed: int = 5):
         rng = random.Random(seed)
         self.families = [*sorted(TEMPLATES), UNKNOWN]
-        filler = [w for text in OTHERS for w in text.split()]
-        rows = [(v, k) for k, family in enumerate(self.families[:-1]) for t in TEMPLATES[family] for v in _variants(t, rng, filler)]
-        for text in OTHERS:
-            rows += [(v, len(self.families) - 1) for v in _variants(text, rng, filler)]
-        # Notices of licences that have no family, made of the families' own common words.
-        for _ in range(4 * SPREAD):
-            name = "".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(3))
-            text = rng.choice(("Licensed under the {} License, version {}.", "Released under the {} License.", "This work is licensed under the {} Public License, version {}."))
-            rows.append((text.format(name, rng.randint(1, 9)), len(self.families) - 1))
-        rng.shuffle(rows)
-        vocabulary = sorted(set().union(*(n_grams(word_list(t)) for ts in TEMPLATES.values() for t in ts)))
+        rows = wordings(TRAIN, seed)
+        texts = [*(t for ts in TEMPLATES.values() for t in ts), *(n for ns in NAMES.values() for n in ns), *(f.format("") for f in STATEMENTS[TRAIN::3]), *OTHERS[TRAIN::3]]
+        vocabulary = sorted(set().union(*(n_grams(word_list(t)) for t in texts)))
         self.grams = {g: i for i, g in enumerate(vocabulary)}
-        data = [([self.grams[g] for g in n_grams(word_list(t)) if g in self.grams], y) for t, y in rows]
-        held, used = data[: len(data) // 5], data[len(data) // 5 :]
+        used = [(self.features(t), self.families.index(y)) for t, y in rows]
         m = len(self.families)
         self.weights = [[0.0] * m for _ in vocabulary]
         self.bias = [0.0] * m
         square = [[1e-8] * m for _ in vocabulary]
-        for epoch in range(EPOCHS // 10):
+        for _ in range(EPOCHS):
             rng.shuffle(used)
             for x, y in used:
                 p = self.probabilities(x)
@@ -143,7 +220,10 @@ class Model:
                         g = d + DECAY * self.weights[i][k]
                         square[i][k] += g * g
                         self.weights[i][k] -= RATE * g / math.sqrt(square[i][k])
-        self.thresholds = self._calibrated(held)
+        self.thresholds = self._calibrated(wordings(CALIBRATE, seed))
+
+    def features(self, text: str) -> list[int]:
+        return sorted(self.grams[g] for g in n_grams(word_list(text)) if g in self.grams)
 
     def probabilities(self, x: list[int]) -> list[float]:
         z = list(self.bias)
@@ -156,23 +236,61 @@ class Model:
         total = sum(e)
         return [v / total for v in e]
 
-    def _calibrated(self, held: list[tuple[list[int], int]]) -> list[float]:
-        """For each family the least threshold from 0.5 at which 99 of 100 held-out variants
-        that reach it are of the family."""
-        scored = [(self.probabilities(x), y) for x, y in held]
+    def _calibrated(self, held: list[tuple[str, str]]) -> list[float]:
+        """For each family the least threshold, from 0.3, at which ``SURE`` of the calibration
+        wordings that reach it and are confirmed are of the family; 1 if there is none."""
+        hits: list[list[tuple[float, bool]]] = [[] for _ in self.families]
+        for text, family in held:
+            p = self.probabilities(self.features(text))
+            k = max(range(len(p)), key=lambda k: (p[k], -k))
+            if confirmed(self.families[k], text):
+                hits[k].append((p[k], self.families[k] == family))
         out = []
         for k in range(len(self.families) - 1):
-            hits = sorted(((p[k], y == k) for p, y in scored if p[k] == max(p)), reverse=True)
-            wrong = [p for p, right in hits if not right]
-            out.append(max([0.5, *(p + 1e-6 for p in wrong)]) if len(wrong) > 0.01 * len(hits) else 0.5)
+            least, right = 1.0, 0
+            for n, (p, is_right) in enumerate(sorted(hits[k], reverse=True), 1):
+                right += is_right
+                if p >= 0.3 and right >= SURE * n:
+                    least = p
+            out.append(least)
         return out
 
+    def classify(self, text: str) -> tuple[str, float]:
+        """Family and probability of one paragraph, before the template comparison."""
+        p = self.probabilities(self.features(text))
+        k = max(range(len(p)), key=lambda k: (p[k], -k))
+        return (self.families[k] if k == len(p) - 1 or p[k] >= self.thresholds[k] else UNKNOWN), p[k]
+
+
+def confirmed(family: str, text: str) -> bool:
+    words = word_list(text)
+    if family == UNKNOWN:
+        return False
+    share = max(len({*word_list(t)} & {*words}) / len({*word_list(t)}) for t in TEMPLATES[family])
+    return share >= CONFIRM or any(f" {name} " in f" {' '.join(words)} " for name in NAMES[family])
+
+
+def evaluate(m: Model, part: int = MEASURE) -> tuple[float, float]:
+    """Precision and recall of confirmed families over the wordings of a part."""
+    right = found = there = 0
+    for text, family in wordings(part):
+        got = m.classify(text)[0]
+        got = got if confirmed(got, text) else UNKNOWN
+        there += family != UNKNOWN
+        found += got != UNKNOWN
+        right += got == family != UNKNOWN
+    return right / max(found, 1), right / max(there, 1)
+
 
 @functools.cache
 def model() -> Model:
     return Model()
 
 
+def _any_of(text: Column, parts: list[str] | tuple[str, ...]) -> Column:
+    return functools.reduce(lambda a, b: a | b, (text.contains(p) for p in parts))
+
+
 def _found(words: Column, template: tuple[str, ...]) -> Column:
     return F.size(F.array_intersect(words, F.array(*map(F.lit, template)))) / F.lit(len(template))
 
@@ -182,7 +300,7 @@ def proposals(docs: DataFrame) -> DataFrame:
     ``docs`` has ``row`` and ``text``."""
 
     def anchored(x: Column) -> Column:
-        return functools.reduce(lambda a, b: a | b, (x.contains(a) for a in ANCHORS))
+        return _any_of(x, ANCHORS)
 
     # Texts are lowered once, and the few that hold an anchor are cut into lines.
     some = docs.where(let(F.lower(F.coalesce("text", F.lit(""))), anchored))
@@ -193,7 +311,7 @@ def proposals(docs: DataFrame) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(_JAVA_WORD), F.lit(1))
+    return F.regexp_extract_all(F.replace(text, F.lit("licence"), F.lit("license")), F.lit(_JAVA_WORD), F.lit(1))
 
 
 def _joined(docs: DataFrame) -> DataFrame:
@@ -205,18 +323,25 @@ def _joined(docs: DataFrame) -> DataFrame:
     sets = [list(dict.fromkeys(ws)) for ws in known]
     needs = [next(m for m in range(len(ws) + 1) if m / len(ws) >= CONFIRM) for ws in sets]
 
+    def some_of(ws: list[str], need: int) -> list[str]:
+        # One of any len - need + 1 words is there if need words are.
+        return sorted(ws, key=len, reverse=True)[: len(ws) - need + 1]
+
+    every = sorted(set().union(*(some_of(ws, need) for ws, need in zip(sets, needs, strict=True))))
+
     def held(x: Column) -> Column:
         each = []
         for t, (ws, need) in enumerate(zip(sets, needs, strict=True)):
-            # One of any len - need + 1 words is there if need words are.
-            some = sorted(ws, key=len, reverse=True)[: len(ws) - need + 1]
-            one = functools.reduce(lambda a, b: a | b, (x.contains(w) for w in some))
+            one = _any_of(x, some_of(ws, need))
             count = functools.reduce(lambda a, b: a + b, (x.contains(w).cast("int") for w in ws))
             each.append(F.when(F.when(one, count).otherwise(0) >= need, F.lit(t)))
         return F.filter(F.array(*each), lambda t: t.isNotNull())
 
     # Texts that hold enough of a template's words anywhere are cut into lines of words.
-    wrapped = docs.where(F.col("text").contains("\n")).select("row", F.lower("text").alias("text"), let(F.lower("text"), held).alias("ts"))
+    lowered = F.replace(F.lower("text"), F.lit("licence"), F.lit("license"))
+    wrapped = docs.where(F.col("text").contains("\n")).select("row", lowered.alias("text"))
+    wrapped = wrapped.where(let(F.col("text"), lambda x: _any_of(x, every)))
+    wrapped = wrapped.select("row", "text", let(F.col("text"), held).alias("ts"))
     cut = wrapped.where(F.size("ts") > 0).dropDuplicates(["row"]).select(
         "row", F.filter(F.transform(lines(F.col("text")), _words), lambda ws: F.size(ws) > 0).alias("ls"), "ts"
     )
@@ -262,22 +387,15 @@ def classify(found: DataFrame) -> DataFrame:
     best = sums.select("row", "paragraph", F.array_max(named).alias("b"))
     scored = found.join(best, ["row", "paragraph"], "left").withColumn(
         "family", F.when(F.col("b.p") >= F.col("b.least"), F.col("b.family")).otherwise(F.lit(UNKNOWN))
-    )
-    contained = F.lit(None).cast("double")
+    ).withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    contained, named = F.lit(None).cast("double"), F.lit(False)
     for family, texts in TEMPLATES.items():
         of = F.greatest(*[_found(F.col("words"), tuple(dict.fromkeys(word_list(t)))) for t in texts], F.lit(0.0))
         contained = F.when(F.col("family") == family, of).otherwise(contained)
-    sure = F.coalesce(contained >= F.lit(CONFIRM), F.lit(False))
-    # A short name decides where the model's answer is not confirmed.
-    name = let(F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")), lambda x: F.coalesce(*[
-        F.when(x.contains(f" {' '.join(word_list(t))} "), F.lit(family)) for family, ts in SHORT.items() for t in ts
-    ]))
-    told = scored.select("row", "paragraph", "family", "b.p", contained.alias("c"), sure.alias("sure"), name.alias("name"))
-    named = ~F.col("sure") & F.col("name").isNotNull()
-    return told.select(
-        "row", "paragraph", F.when(named, F.col("name")).otherwise(F.col("family")).alias("family"),
-        F.when(named, 1.0).otherwise(F.coalesce("p", F.lit(0.0))).alias("probability"),
-        F.when(named, 1.0).otherwise(F.col("c")).alias("containment"), (F.col("sure") | named).alias("confirmed"),
+        named = F.when(F.col("family") == family, _any_of(F.col("joined"), [f" {name} " for name in NAMES[family]])).otherwise(named)
+    return scored.select(
+        "row", "paragraph", "family", F.coalesce("b.p", F.lit(0.0)).alias("probability"), contained.alias("containment"),
+        ((F.col("family") != UNKNOWN) & (F.coalesce(contained >= F.lit(CONFIRM), F.lit(False)) | F.coalesce(named, F.lit(False)))).alias("confirmed"),
     )
 
 
