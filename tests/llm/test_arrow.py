@@ -138,10 +138,31 @@ def test_contamination(spark):
     assert {tuple(r)[:4] for r in contamination.contained_items(df, bench).collect()} == expected
     clean = contamination.decontaminate(df, bench)
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, *_ in expected}
+    small = (contamination.ITEM_BLOCK, contamination.BLOCK_BYTES)
+    try:
+        contamination.ITEM_BLOCK, contamination.BLOCK_BYTES = 4, 300
+        assert {tuple(r)[:4] for r in contamination.contained_items(df, bench).collect()} == expected
+    finally:
+        contamination.ITEM_BLOCK, contamination.BLOCK_BYTES = small
     assert contamination.contained_items(df, bench.limit(0)).count() == 0
     assert contamination.contained_items(empty_docs(spark), bench).count() == 0
 
 
+def test_contamination_by_text(spark):
+    """Items that share an id, null ids on either side, one id with two texts, clashing columns."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(12)) for x in "abc")
+    big = 2**60 + 1
+    bench = spark.createDataFrame([(1, one, "k"), (1, two, "k"), (None, three, "k")], "item_id long, text string, k1 string")
+    docs = spark.createDataFrame(
+        [(1, f"x {one} y", "z"), (1, "own words only here", "z"), (2, two, None), (None, f"{three} w", None), (None, "plain", None), (big, one, None), (4, None, None)],
+        "doc_id long, text string, item_id string",
+    )
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in contamination.contained_items(docs, bench).collect()}
+    assert got == {(1, 1, 8, 8), (2, 1, 8, 8), (None, None, 8, 8), (big, 1, 8, 8)}
+    clean = contamination.decontaminate(docs, bench)
+    assert clean.columns == docs.columns and sorted(str(r.text) for r in clean.collect()) == ["None", "own words only here", "plain"]
+
+
 def planted_passages(seed=5):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
@@ -233,6 +254,18 @@ def test_base_spans_follow_their_expressions(text):
     assert [(s, k, e) for s, k, e, _ in personal_data.find_spans(text) if k < 4] == base_spans(text)
 
 
+def test_ibans_of_their_length_and_secrets(spark):
+    spans = lambda t: [(personal_data.KINDS[k], t[s:e]) for s, k, e, _ in personal_data.find_spans(t) if k > 3]
+    assert spans("IBAN DE89370400440532013000 OK thanks") == [("iban", "DE89370400440532013000")]
+    assert spans("IBAN: GB82 WEST 1234 5698 7654 32 BIC X") == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert spans("DE893704004405320130001") == [] and spans("ZZ89370400440532013000") == []
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    assert spans(f'token = "{key}" x') == [("secret", key)] and spans(f"commit {key}") == [] and spans("token = " + "a" * 40) == []
+    docs = edge_docs(spark).where("doc_id < 3").withColumn("text", F.when(F.col("doc_id") == 2, f'token = "{key}" of a@b.cd, {"é" * 3}').otherwise(F.col("text")))
+    masked = personal_data.mask(docs)
+    assert masked.columns == docs.columns and {r.doc_id: r.text for r in masked.collect()} == {1: None, 2: 'token = "<secret>" of <email>, ééé'}
+
+
 def test_added_spans_and_scores():
     found = {personal_data.KINDS[k]: (t[s:e], c) for t in ["iban DE89 3704 0044 0532 0130 00 here", "my ssn is 123-45-6789 ok"] for s, k, e, c in personal_data.find_spans(t)}
     assert found["iban"][0] == "DE89 3704 0044 0532 0130 00" and found["ssn"][0] == "123-45-6789"
@@ -309,6 +342,18 @@ def test_supersteps_are_best_fit(counts):
     assert sorted(40 - v for v in fill.values()) == sorted(gaps)
 
 
+def test_special_tokens_as_the_tokenizer_gives_them(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["ab <|endoftext|> cd", "<|endoftext|>", "汉 <|endoftext|>\u2003x", "<|endoftext |>", "plain"]
+    rows = {r.doc_id: r for r in packing.digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        assert rows[i].length == len(ids) and rows[i].ids_crc32 == zlib.crc32(np.array(ids, dtype="<u4").tobytes())
+
+
 def test_encoders_agree():
     pytest.importorskip("public_tokenizers")
     e = packing.Encoder(packing.public_vocabulary())
@@ -363,6 +408,55 @@ def test_code_switched_words(spark, data):
     assert np.mean([model.labels[k] == w for k, w in zip(marginal.argmax(axis=1), want, strict=True)]) > 0.9
 
 
+def test_numerals_are_no_letters(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(["²", "½ ½", "Ⅷ", "12 _", "汉"])], docs.schema)
+    got = {r.doc_id: r.lang_pred for r in language_crf.digest(docs.union(odd)).where("doc_id >= 1000000").collect()}
+    assert [got[10**6 + i] for i in range(4)] == ["und"] * 4 and got[10**6 + 4] != "und"
+
+
+def test_language_query_against_plain_python(spark, data):
+    """One text at a time, one word at a time, over all documents."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    learned = [(r.text, r.lang) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    rows = spark.createDataFrame(learned, "text string, lang string")
+    drawn = language_crf.sample(rows)
+    assert drawn == language_crf.sample(rows.union(rows.orderBy(F.col("text").desc())))
+    assert set(drawn) <= set(learned) and len(drawn) == sum(min(120, len({t for t, x in learned if x == lang and t is not None})) for lang in {x for _, x in learned if x})
+    m = language_crf.train(drawn)
+    place = {int(h): k for k, h in enumerate(m.lexicon)}
+    some = docs.where("doc_id % 9 = 0").collect()
+    got = {r.doc_id: r for r in language_crf.predict(docs.where("doc_id % 9 = 0"), m, ["doc_id"]).collect()}
+    step, first = np.exp(m.transitions), np.exp(m.start) / np.exp(m.start).sum()
+    for r in some:
+        words = language_crf.lowered(r.text).split()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        hashes = shingles.word_hashes([b" ".join(words)])[0]
+        e = []
+        for w, h in zip(words, hashes, strict=True):
+            buckets, _ = language_crf.spelled([w])
+            score = m.grams[buckets].sum(axis=0) + (m.words[place[int(h)]] if int(h) in place else 0)
+            e.append(np.exp(score - score.max()))
+        a, b = [first * e[0] / (first * e[0]).sum()], [np.ones(len(m.labels))]
+        for x in e[1:]:
+            v = (a[-1] @ step) * x
+            a.append(v / v.sum())
+        for x in e[:0:-1]:
+            v = step @ (x * b[-1])
+            b.append(v / v.sum())
+        share = np.mean([v / v.sum() for v in (x * y for x, y in zip(a, b[::-1], strict=True))], axis=0)
+        assert got[r.doc_id].lang_pred == m.labels[int(share.argmax())] and got[r.doc_id].score == pytest.approx(share.max(), abs=1e-6)
+    runs = collections.defaultdict(list)
+    for r in language_crf.word_runs(docs.where("doc_id % 9 = 0"), m).collect():
+        runs[r.doc_id].append((r.start, r.end))
+    for r in some:
+        n = len(WORD.findall(r.text or ""))
+        spans = sorted(runs[r.doc_id])
+        assert [s for s, _ in spans] == [0, *[e for _, e in spans[:-1]]][: len(spans)] and (spans[-1][1] if spans else 0) == n
+
+
 def test_language_edges(spark):
     got = {r.doc_id: (r.lang_pred, r.score) for r in language_crf.digest(edge_docs(spark)).collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[6][0] in ("en", "de", "fr") and len(got) == 12

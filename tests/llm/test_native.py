@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -94,15 +95,43 @@ def test_line_dedup(spark):
 
 
 def test_line_runs_by_batch(spark):
+    """A line is in the run of the batch that first held it; what the anti-join finds again is an increment."""
     runs = line_dedup.LineRuns(Scratch(spark, "test"))
     batch = lambda *x: spark.createDataFrame(x, "doc_id long, k1 long, k2 long")
-    assert runs.add(batch((1, 1, 0), (1, 1, 0), (2, 2, 0))) == (2, 2)
-    assert runs.add(batch((3, 2, 0), (3, 3, 0))) == (2, 1)
-    assert sorted(runs.levels) == [1]
-    runs.add(batch((9, 1, 0)))
-    assert sorted(runs.levels) == [0, 1]
+    held = lambda levels: {k: sorted(map(tuple, df.collect())) for k, df in levels.items()}
+    runs.add(batch((1, 1, 0), (1, 1, 0), (2, 2, 0)))
+    runs.add(batch((3, 2, 0), (3, 3, 0)))
+    assert held(runs.runs) == {1: [(1, 0, 1, 1), (2, 0, 1, 2), (3, 0, 1, 3)]} and held(runs.increments) == {0: [(2, 0, 1, 3)]}
+    runs.add(batch((9, 1, 0), (9, 4, 0)))
+    assert held(runs.runs)[0] == [(4, 0, 1, 9)] and held(runs.increments) == {1: [(1, 0, 1, 9), (2, 0, 1, 3)]}
     total = {r.k1: (r.n_docs, r.keep_doc) for r in runs.compact().collect()}
-    assert total == {1: (2, 9), 2: (2, 3), 3: (1, 3)}
+    assert total == {1: (2, 9), 2: (2, 3), 3: (1, 3), 4: (1, 9)}
+    tables = [r.tableName for r in spark.sql("SHOW TABLES").collect() if r.tableName.startswith("line_run_")]
+    runs.close()
+    assert len(tables) == 1 and not spark.catalog.tableExists(tables[0])
+
+
+def shard_by_hand(doc_id, n):
+    shards = [(k // 8, k // 4, k) for k in range(n)]
+
+    def draw(name, weight):
+        bits = int(hashlib.md5(f"{'null' if doc_id is None else doc_id}/{name}".encode()).hexdigest()[:13], 16)
+        return math.log((2 * bits + 1) / (1 << 53)) / weight
+
+    for level, name in enumerate(("region", "rack", "shard")):
+        count = collections.Counter(s[level] for s in shards)
+        best = max(count, key=lambda k: (draw(f"{name}{k}", count[k]) if len(count) > 1 else 0, k))
+        shards = [s for s in shards if s[level] == best]
+    return shards[0][2]
+
+
+def test_draws_against_plain_python(spark):
+    ids = [None, *range(-3, 700), 2**60]
+    rows = shard_tree.assign_shards(spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.shard, r.grown_shard) for r in rows} == {i: (shard_by_hand(i, 16), shard_by_hand(i, 17)) for i in ids}
+    other = shard_tree.assign_shards(spark.range(300).selectExpr("id AS doc_id", "'x' AS text"), 17).collect()
+    assert {r.law for r in other} == {"subtree"} and all(r.shard == shard_by_hand(r.doc_id, 17) for r in other)
+    assert all(r.grown_shard // 8 in (r.shard // 8, 2) for r in other)
 
 
 def test_shards(spark):
@@ -160,3 +189,61 @@ def test_licence_probabilities_agree_with_the_model(spark):
         x = [m.grams[g] for g in license_scan.n_grams(license_scan.word_list(text)) if g in m.grams]
         if x:
             assert r.probability == pytest.approx(max(m.probabilities(x)), abs=1e-6)
+
+
+def test_held_out_wordings():
+    precision, recall = license_scan.evaluate(license_scan.model())
+    assert precision >= 0.99 and recall >= 0.95
+    assert not {t for t, _ in license_scan.wordings(license_scan.MEASURE)} & {t for part in range(2) for t, _ in license_scan.wordings(part)}
+    for family, names in license_scan.NAMES.items():
+        assert family in license_scan.TEMPLATES and all(any(a in n for a in license_scan.ANCHORS) for n in names)
+
+
+def scan_by_hand(text):
+    m, found = license_scan.model(), []
+    low = (text or "").lower()
+    for line in low.split("\n"):
+        if any(a in line for a in license_scan.ANCHORS):
+            found.append(license_scan.word_list(line))
+    ls = [ws for ws in map(license_scan.word_list, low.split("\n")) if ws]
+    joined = {}
+    for t in (t for ts in license_scan.TEMPLATES.values() for t in ts):
+        words = license_scan.word_list(t)
+        holds = lambda i, j: len({*words} & {w for ws in ls[i:j] for w in ws}) >= license_scan.CONFIRM * len({*words})  # noqa: B023, E731
+        for i in range(len(ls)):
+            if not {*words} & {*ls[i]}:
+                continue
+            j = next((j for j in range(i, min(i + len(words), len(ls) - 1) + 1) if holds(i, j + 1)), i)
+            if j > i and sum(map(len, ls[i + 1 : j])) < len(words) and not holds(i + 1, j + 1):
+                joined[i, j] = [w for ws in ls[i : j + 1] for w in ws]
+    scored = []
+    for words in [*found, *joined.values()]:
+        family, p = m.classify(" ".join(words))
+        if family != "unknown":
+            scored.append((license_scan.confirmed(family, " ".join(words)), p, family))
+    best = max(scored, default=(False, 0, ""))
+    name = "none" if not found and not joined else best[2] if best[0] else "unknown"
+    return name, len(found) + len(joined), ",".join(sorted({f for c, _, f in scored if c}))
+
+
+def test_licences_against_plain_python(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").dropDuplicates(["doc_id"])
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    own = {10**6 + i: "\n".join(f"# {w}" for w in t.replace(";", ";\n").split("\n")) + "\n\nx" for i, t in enumerate(t for ts in license_scan.TEMPLATES.values() for t in ts)}
+    wrap = {2 * 10**6 + i: " ".join(t.split()[:9]) + "\n  * " + " ".join(t.split()[9:]) for i, t in enumerate(own.values())}
+    texts |= own | wrap
+    got = license_scan.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.license, r.n_proposals, r.families) for r in got} == {i: scan_by_hand(t) for i, t in texts.items()}
+    assert sum(r.license not in ("none", "unknown") for r in got if r.doc_id >= 10**6) >= 0.95 * (len(own) + len(wrap))
+
+
+PROBES = {
+    "MIT License\n\nCopyright (c) 2020 X": "MIT", "Released under the terms of the MIT licence": "MIT", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "License: BSD-3-Clause": "BSD", "Mozilla Public Licence 2.0": "MPL-2.0", "ISC License": "ISC", "Distributed under the Apache 2.0 terms": "Apache-2.0",
+    "GPLv3+": "GPL-3.0", "This file is free software under GPL v3": "GPL-3.0", "She studied at MIT.": "none",
+}
+
+
+def test_wordings_that_are_no_templates(spark):
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(PROBES)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == dict(enumerate(PROBES.values()))
