@@ -19,6 +19,7 @@ an empty table gives no rows; further columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .linking import PERCENT, blocks, linked_components
 from ..sources.shared import Scratch, small
@@ -34,7 +36,8 @@ from .slices import map_slices
 
 WINDOW, MIN_WORDS, MIN_RUN = 14, 6, 18
 RECALL, ROWS = 0.98, 2
-BROADCAST_ROWS = 2_000_000
+#: Slots of a task's table of the sets that it has given already.
+SEEN = 1 << 18
 
 _U = np.uint64
 
@@ -132,11 +135,28 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"doc_id": ids[p.text], "start": p.start, "end": p.end, "node": p.node.view(np.int64)})
 
 
+class _Once:
+    """Tells the sets that a task has not met lately, so that a paragraph of many texts leaves
+    a task once or a few times. A slot holds one set; what it forgets is given again."""
+
+    def __init__(self) -> None:
+        self.slots = np.arange(SEEN, dtype=_U) ^ _U(1)  # no set of a slot
+
+    def __call__(self, p: Paragraphs) -> tuple[np.ndarray, np.ndarray]:
+        """The new ones of the distinct sets, and each one's first paragraph."""
+        nodes, first = np.unique(p.node, return_index=True)
+        at = (nodes & _U(SEEN - 1)).astype(np.int64)
+        new = self.slots[at] != nodes
+        self.slots[at] = nodes
+        return nodes[new], first[new]
+
+
 def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, node, n): each paragraph's set with the keys of its bands, once for a run of texts."""
+    """(key, node, n): each paragraph's set with the keys of its bands."""
+    once = _Once()
     for batch in batches:
         for p in paragraphs(batch["text"].tolist()):
-            nodes, first = np.unique(p.node, return_index=True)
+            nodes, first = once(p)
             with np.errstate(over="ignore"):
                 least = [np.minimum.reduceat(p.run * f, p.offset)[first] * f for f in _FACTORS]
                 keys = [mix(sum(least[b * ROWS : (b + 1) * ROWS], np.zeros(len(nodes), _U)) + _BAND[b]) for b in range(BANDS)]
@@ -145,9 +165,10 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    once = _Once()
     for batch in batches:
         for p in paragraphs(batch["text"].tolist()):
-            nodes, first = np.unique(p.node, return_index=True)
+            nodes, first = once(p)
             ends = np.append(p.offset[1:], len(p.run))
             sketch = np.bitwise_or.reduceat(_U(1) << (p.run >> _U(58)), p.offset)[first]
             yield pd.DataFrame({"node": nodes.view(np.int64), "sketch": sketch.view(np.int64), "grams": [np.unique(p.run[p.offset[i] : ends[i]]).tobytes() for i in first]})
@@ -163,17 +184,6 @@ def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["a", "b", "linked"])
 
 
-def _sets_of(shared: DataFrame, texts: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, sketch, grams) of the nodes in blocks, each from the least document that holds it."""
-    involved = scratch.keep(shared.select("node").distinct(), "involved")
-    wanted = small(involved, involved.count(), BROADCAST_ROWS)
-    homes = parts.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    homes = scratch.keep(homes, "homes")
-    source = texts.join(small(homes, homes.count(), BROADCAST_ROWS), "doc_id", "left_semi")
-    sets = map_slices(source, _sets, "node long, sketch long, grams binary").join(wanted, "node", "left_semi")
-    return scratch.keep(sets.dropDuplicates(["node"]), "sets")
-
-
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with ``linked``, from the overlap of their sets."""
     x = sets.select(F.col("node").alias("a"), F.col("grams").alias("x"))
@@ -182,43 +192,96 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return map_slices(both, _overlaps, "a long, b long, linked boolean", 4096)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, end, n_words, cluster_id, n_docs, removed) of repeated passages.
+def paragraph_clusters(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """All paragraphs (doc_id, start, end, node), and (node, cluster_id, lo, hi) of the sets
+    that stand in several documents or collide with others in a band: ``lo`` and ``hi`` are
+    a set's least and greatest doc_id.
 
-    ``start`` and ``end`` count the document's words; ``cluster_id`` names the cluster of
-    the passage's first paragraph, ``n_docs`` its documents; ``removed`` is false in the
-    cluster's least doc_id, which keeps the passage. Paragraphs of one band that the rounds
-    left in different clusters are compared pair by pair, but those whose sketches rule a
-    link out.
+    Paragraphs of one band that the rounds left in different clusters are compared pair by
+    pair, but those whose sketches rule a link out, so only what the bands miss is lost.
     """
-    scratch = Scratch(docs.sparkSession, "passages")
-    texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     parts = scratch.keep(map_slices(texts, _parts, "doc_id long, start int, end int, node long"), "parts")
     shared = blocks(map_slices(texts, _bands, "key long, node long, n int"), scratch)
-    sets = _sets_of(shared, texts, parts, scratch)
+    involved = scratch.keep(shared.select("node").distinct().withColumn("involved", F.lit(True)), "involved")
+    held = parts.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    nodes = scratch.keep(held.join(involved, "node", "left").where("involved or lo < hi"), "nodes")
+
+    # Each involved set, from the least document that holds it.
+    homes = scratch.keep(nodes.where("involved").select(F.col("lo").alias("doc_id")).distinct(), "homes")
+    source = texts.join(small(homes, homes.count()), "doc_id", "left_semi")
+    sets = map_slices(source, _sets, "node long, sketch long, grams binary").join(nodes.where("involved"), "node", "left_semi")
+    sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
     found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch, sketches=sets.select("node", "sketch"))
+    clusters = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster_id"), "lo", "hi")
+    clusters = scratch.keep(clusters, "clusters")
+    scratch.close(parts, clusters)
+    return parts, clusters
 
-    labels = small(found, found.count(), BROADCAST_ROWS).withColumnRenamed("node", "_node")
-    labelled = parts.join(labels, F.col("node") == F.col("_node"), "left").select(
-        "doc_id", "start", "end", F.coalesce("component", "node").alias("cluster_id")
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, end, n_words, cluster_id, n_docs, removed) of repeated passages.
+
+    ``start`` and ``end`` count the document's words; ``cluster_id`` names the cluster of
+    the passage's first paragraph, ``n_docs`` that cluster's documents; ``removed`` is false
+    in the cluster's least doc_id, which keeps the passage.
+    """
+    scratch = Scratch(docs.sparkSession, "passages")
+    parts, clusters = paragraph_clusters(docs.select("doc_id", "text").where("doc_id IS NOT NULL"), scratch)
+    several = clusters.groupBy("cluster_id").agg(F.min("lo").alias("keeper"), F.max("hi").alias("most")).where("keeper < most")
+    flagged = scratch.keep(clusters.join(several, "cluster_id").select("node", "cluster_id", "keeper"), "flagged")
+    # Of two written tables, so that the rows of a set that many documents hold are split.
+    members = scratch.keep(
+        parts.join(small(flagged, flagged.count()), "node").select("doc_id", "start", "end", "cluster_id", (F.col("doc_id") != F.col("keeper")).alias("removed")),
+        "members",
     )
-    several = labelled.groupBy("cluster_id").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("most")).where("keeper < most")
-    # Written, so that the join is of two plain shuffles and a large cluster is split.
-    several = scratch.keep(several.select("cluster_id", "keeper"), "several")
-    members = scratch.keep(labelled.join(several, "cluster_id"), "members")
     sizes = members.groupBy("cluster_id", "doc_id").agg(F.lit(1).alias("one")).groupBy("cluster_id").agg(F.count("*").alias("n_docs"))
-    flagged = members.join(sizes, "cluster_id").select(
-        "doc_id", "start", "end", "cluster_id", "n_docs", (F.col("doc_id") != F.col("keeper")).alias("removed")
-    ).distinct()
+    sizes = scratch.keep(sizes, "sizes")
     # Runs of a document: the next flagged paragraph begins within WINDOW words of the last one's end.
     order = Window.partitionBy("doc_id", "removed").orderBy("start")
-    broken = flagged.withColumn("fresh", F.when(F.col("start") - F.lag("end").over(order) <= WINDOW, 0).otherwise(1))
+    broken = members.withColumn("fresh", F.when(F.col("start") - F.lag("end").over(order) <= WINDOW, 0).otherwise(1))
     runs = broken.withColumn("run", F.sum("fresh").over(order)).groupBy("doc_id", "removed", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("cluster_id", "start").alias("cluster_id"), F.min_by("n_docs", "start").alias("n_docs")
+        F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("cluster_id", "start").alias("cluster_id")
+    )
+    runs = scratch.keep(runs.where(F.col("end") - F.col("start") >= MIN_RUN), "runs")
+    out = scratch.keep(
+        runs.join(small(sizes, sizes.count()), "cluster_id").select(
+            "doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "cluster_id", "n_docs", "removed"
+        ),
+        "passages",
     )
-    return runs.where(F.col("end") - F.col("start") >= MIN_RUN).select(
-        "doc_id", "start", "end", (F.col("end") - F.col("start")).alias("n_words"), "cluster_id", "n_docs", "removed"
+    scratch.close(out)
+    return out
+
+
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@F.pandas_udf(StringType())
+def _cut_out(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+    def one(text: str | None, spans: list | None) -> str | None:
+        if text is None or spans is None:
+            return text
+        words, kept, at = [m.span() for m in _WORDS.finditer(text)], [], 0
+        for span in spans:
+            if span["start"] < len(words):
+                kept.append(text[at : words[span["start"]][0]])
+                at = words[min(span["end"], len(words)) - 1][1]
+        return "".join([*kept, text[at:]])
+
+    return pd.Series([one(t, s) for t, s in zip(texts, cuts, strict=True)], dtype=object)
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` with each text cut down to what is not a removed passage; the white space
+    around a passage stays."""
+    cuts = repeated_passages(docs).where("removed").groupBy(F.col("doc_id").alias("_d")).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cuts")
     )
+    cut = _cut_out(F.when(F.col("_cuts").isNotNull(), F.col("text")), F.col("_cuts"))
+    return (
+        docs.join(cuts, F.col("doc_id") == F.col("_d"), "left")
+        .withColumn("text", F.when(F.col("_cuts").isNotNull(), cut).otherwise(F.col("text"))).select(docs.columns)
+    )
 
 
 def digest(docs: DataFrame) -> DataFrame:
