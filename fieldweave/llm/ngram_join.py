@@ -46,8 +46,6 @@ from .slices import map_slices
 HOT_DOCS, HOT_MOST = 8, 1_000_000
 #: n-grams that are counted together in a task.
 COUNT_CHUNK = 1 << 20
-#: Rows up to which a table of ids is broadcast.
-BROADCAST_ROWS = 2_000_000
 
 _U = np.uint64
 
@@ -135,16 +133,12 @@ def _frame(docs: list, rows: list) -> pd.DataFrame:
     return pd.DataFrame({"key": np.concatenate(rows).view(np.int64), "node": np.repeat(d[:, 0], d[:, 2]), "n": np.repeat(d[:, 1], d[:, 2]).astype(np.int32), "pos": np.concatenate([np.arange(k, dtype=np.int32) for k in d[:, 2]])})
 
 
-def _sets(dtype: type) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Each document's n-grams, whole (64 bits) or cut to their low bits."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            out = [(ids[i], (s if dtype is _U else np.sort(s.astype(dtype))).tobytes()) for i, s in shingle_sets(batch["text"].tolist())]
-            yield pd.DataFrame(out, columns=["doc_id", "grams"])
-
-    return run
+def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each document's n-grams, whole (64 bits) and cut to their low 16 bits."""
+    for batch in batches:
+        ids = batch["doc_id"].to_numpy()
+        out = [(ids[i], np.sort(s.astype(np.uint16)).tobytes(), s.tobytes()) for i, s in shingle_sets(batch["text"].tolist())]
+        yield pd.DataFrame(out, columns=["node", "low", "grams"])
 
 
 def at_most(a: np.ndarray, b: np.ndarray) -> int:
@@ -179,31 +173,28 @@ def enough(keys: Column, n: Column, m: Column) -> Column:
     return F.lit(100 + PERCENT) * (keys + need - 1) >= F.lit(PERCENT) * (n + m)
 
 
-def _compare(pairs: DataFrame, texts: DataFrame, scratch: Scratch, dtype: type) -> DataFrame:
-    """``pairs`` (a, b) with ``linked``, from the overlap of their sets in ``dtype``."""
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    n = involved.count()
-    sets = scratch.keep(map_slices(texts.join(small(involved, n, BROADCAST_ROWS), "doc_id", "left_semi"), _sets(dtype), "doc_id long, grams binary"), "sets")
-    if sets.count() > n:  # rows that repeat a doc_id
-        sets = sets.dropDuplicates(["doc_id"])
-    x = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+def _compare(pairs: DataFrame, sets: DataFrame, column: str, dtype: type) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``, from the overlap of their sets in ``column``."""
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = sets.select("node", column).join(small(involved, 2 * pairs.count()), "node", "left_semi")
+    x = own.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    y = own.select(F.col("node").alias("b"), F.col(column).alias("y"))
     both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return map_slices(both, _overlaps(dtype), "a long, b long, linked boolean")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     """``pairs`` (a, b) with ``linked``. Sets of 16-bit n-grams, a quarter of the bytes, bound
     the overlap from above and settle most pairs; whole sets settle the rest."""
-    bound = scratch.keep(_compare(pairs, texts, scratch, np.uint16), "bound")
-    whole = _compare(bound.where("linked").select("a", "b"), texts, scratch, _U)
-    return bound.where("NOT linked").unionByName(whole)
+    bound = scratch.keep(_compare(pairs, sets, "low", np.uint16), "bound")
+    near = scratch.keep(bound.where("linked").select("a", "b"), "near")
+    return bound.where("NOT linked").unionByName(_compare(near, sets, "grams", _U))
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, class_id) of every document."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
+    scratch = scratch or Scratch(spark, "ngram-join")
     texts = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     # A null would make the ids of its slice floats.
     unnamed = docs.where("doc_id IS NULL").select(F.lit(0).cast("long").alias("doc_id"), "text")
@@ -226,12 +217,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     # The product's rows: one text of each class, dealt by n-gram.
     distinct = members.where("n > 0 and doc_id <> class_id").select("doc_id").distinct()
-    copies = small(distinct, distinct.count(), BROADCAST_ROWS)
+    copies = small(distinct, distinct.count())
     rows = map_slices(texts.join(copies, "doc_id", "left_anti"), _prefixes(frequent), "key long, node long, n int, pos int")
     shared = blocks(rows, scratch)
 
-    found = linked_components(shared, lambda pairs: _verify(pairs, texts, scratch), scratch, enough)
-    scratch.free(survey, shared)
+    # The sets of all documents that share a block, made once for all comparisons.
+    involved = scratch.keep(shared.select(F.col("node").alias("doc_id")).distinct(), "involved")
+    n = involved.count()
+    sets = scratch.keep(map_slices(texts.join(small(involved, n), "doc_id", "left_semi"), _sets, "node long, low binary, grams binary"), "sets")
+    if sets.count() > n:  # rows that repeat a doc_id
+        sets = scratch.keep(sets.groupBy("node").agg(F.min_by(F.struct("low", "grams"), "grams").alias("s")).select("node", "s.low", "s.grams"), "sets")
+    found = linked_components(shared, lambda pairs: _verify(pairs, sets, scratch), scratch, enough)
+    scratch.close(members, found)
+    frequent.destroy()
     named = (
         members.join(found, F.col("class_id") == F.col("node"), "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
@@ -244,11 +242,12 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with the least doc_id of each component only, and one row of a repeated one;
     rows with a null doc_id all stay."""
     scratch = Scratch(docs.sparkSession, "one-of-each")
-    first = jaccard_components(docs).where("doc_id = component_id").select("doc_id")
+    first = jaccard_components(docs, scratch).where("doc_id = component_id").select("doc_id")
     kept = scratch.keep(first, "kept")
+    scratch.close(kept)
     n, n_ids = kept.agg(F.count("*"), F.countDistinct("doc_id")).first()
     ids = kept.distinct() if n > n_ids else kept
-    out = docs.join(small(ids, n_ids, BROADCAST_ROWS), "doc_id", "left_semi").select(docs.columns)
+    out = docs.join(small(ids, n_ids), "doc_id", "left_semi").select(docs.columns)
     out = out.dropDuplicates(["doc_id"]) if n > n_ids else out
     return out.unionByName(docs.where("doc_id IS NULL"))
 
