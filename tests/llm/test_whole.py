@@ -5,8 +5,10 @@ import itertools
 import random
 
 import pandas as pd
+import pytest
 
 from fieldweave.llm import license_scan, ngram_join, passages
+from fieldweave.sources.shared import Scratch
 
 from .edge import PROSE, edge_docs
 from .test_arrow import groups
@@ -54,6 +56,62 @@ def test_all_near_equal_paragraphs_of_a_band_are_linked(spark, monkeypatch):
     assert max(n for _, n in clusters) == max(n for _, n, _ in expected)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_links_of_all_paragraphs(spark, sf):
+    """Links of the query's clusters against an exact join of all paragraphs, and its rows
+    against runs made by hand of those clusters."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    sets, held, parts = {}, collections.defaultdict(set), []
+    for p in passages.paragraphs([r.text for r in rows]):
+        ends = [*p.offset[1:], len(p.run)]
+        for t, a, b, at, end, node in zip(p.text, p.start, p.end, p.offset, ends, p.node.view("int64"), strict=True):
+            sets[int(node)] = frozenset(p.run[at:end].tolist())
+            held[int(node)].add(rows[t].doc_id)
+            parts.append((rows[t].doc_id, int(a), int(b), int(node)))
+    by = collections.defaultdict(list)
+    for node, s in sets.items():
+        for g in s:
+            by[g].append(node)
+    shared = collections.Counter(pair for nodes in by.values() for pair in itertools.combinations(sorted(nodes), 2))
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+
+    scratch = Scratch(spark, "test")
+    _, clusters = passages.paragraph_clusters(docs.select("doc_id", "text"), scratch)
+    of = {r.node: r.cluster_id for r in clusters.collect()}
+    assert sum(of.get(a, a) == of.get(b, b) for a, b in links) >= 0.95 * len(links)
+    place = {node: k for k, node in enumerate(sorted(sets))}
+    exact = groups(len(sets), [(place[a], place[b]) for a, b in links])
+    first = {}
+    assert all(exact[place[node]] == exact[place[first.setdefault(c, node)]] for node, c in of.items())
+
+    members = collections.defaultdict(set)
+    for node, ds in held.items():
+        members[of.get(node, node)] |= ds
+    runs = []
+    for (doc, removed), own in itertools.groupby(
+        sorted((d, d != min(members[of.get(n, n)]), a, b, of.get(n, n)) for d, a, b, n in parts if len(members[of.get(n, n)]) > 1), key=lambda x: x[:2]
+    ):
+        for _, _, a, b, c in own:
+            if runs and runs[-1][:2] == [doc, removed] and a - runs[-1][3] <= passages.WINDOW:
+                runs[-1][3] = max(b, runs[-1][3])
+            else:
+                runs.append([doc, removed, a, b, c])
+    expected = {(d, a, b, c, len(members[c]), removed) for d, removed, a, b, c in runs if b - a >= passages.MIN_RUN}
+    got = passages.digest(docs).collect()
+    assert {(r.doc_id, r.start, r.end, r.cluster_id, r.n_docs, r.removed) for r in got} == expected and len(got) == len(expected)
+
+
+def test_removed_passages_are_cut_out(spark):
+    text = "one two  three\nfour five"
+    df = spark.createDataFrame([(text, [(1, 3)]), (text, [(0, 1), (4, 9)]), (None, [(0, 1)]), (text, None)], "text string, cuts array<struct<start:int,end:int>>")
+    got = [r[0] for r in df.select(passages._cut_out("text", "cuts")).collect()]
+    assert got == ["one \nfour five", " two  three\nfour ", None, text]
+    docs = edge_docs(spark)
+    out = {r.doc_id: r.text for r in passages.without_passages(docs).where("doc_id in (6, 8, 10)").collect()}
+    assert out[6] == PROSE and len(out[8].split()) < 10 and out[10] == "\x0b\x0c x \r\n y" and passages.without_passages(docs).columns == docs.columns
+
+
 def test_rows_without_a_doc_id_stay(spark):
     big = 2**60 + 1
     more = [(None, PROSE, "en"), (None, PROSE, "en"), (None, None, "en"), (big, "five more words stand here alone", "en"), (None, "own", None)]
