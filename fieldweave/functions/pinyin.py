@@ -44,8 +44,8 @@ def initials(text: str, table: dict[str, str]) -> str:
     return "".join(kept).upper()
 
 
-def _column(f, text: Column, *args) -> Column:
-    table = readings()
+def _column(f, text: Column, *args, toned: bool = False) -> Column:
+    table = readings(toned)
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -54,8 +54,8 @@ def _column(f, text: Column, *args) -> Column:
     return run(text)
 
 
-def pinyin(text: Column, delimiter: str = "") -> Column:
-    return _column(to_pinyin, text, delimiter)
+def pinyin(text: Column, delimiter: str = "", toned: bool = False) -> Column:
+    return _column(to_pinyin, text, delimiter, toned=toned)
 
 
 def pinyin_initials(text: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.ratios import gestalt_ratio
 from ..sources.dictionary import tables_of
 from ..sources.shared import Scratch
+from .numbering import numbered
 
 ORDER = ["pair_ord", "source_table_ord", "target_table_ord", "source_ord", "target_ord"]
 #: Edges up to which greedy assignment is one fold in one task; beyond it runs in rounds.
@@ -32,8 +33,9 @@ def best_table_pairs(source: DataFrame, target: DataFrame, threshold: float = 0.
     """Pairs that reach the threshold, the ``max_pairs`` most similar, ranked by ``pair_ord``."""
     kept = table_pairs(source, target).where(F.col("similarity") >= threshold)
     order = [F.col("similarity").desc(), "source_table_ord", "target_table_ord"]
-    top = kept.orderBy(*order).limit(max_pairs) if max_pairs else kept
-    # The pairs of two dictionaries' tables, cut to max_pairs: one small window.
+    if not max_pairs:
+        return numbered(kept, order).withColumn("pair_ord", (F.col("n") - 1).cast("long")).drop("n")
+    top = kept.orderBy(*order).limit(max_pairs)  # one small window
     return top.withColumn("pair_ord", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
 
 
@@ -60,8 +62,9 @@ def is_exact() -> Column:
     return F.lower("source_field") == F.lower("target_field")
 
 
-def candidates(pairs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    return pairs.where(F.col("similarity") >= threshold)
+def candidates(pairs: DataFrame, threshold: float = 0.5, above: bool = False) -> DataFrame:
+    """Pairs that reach the threshold, or only those ``above`` it."""
+    return pairs.where(F.col("similarity") > threshold if above else F.col("similarity") >= threshold)
 
 
 def sequence() -> Column:
@@ -138,8 +141,8 @@ def one_to_one(judged: DataFrame) -> DataFrame:
 
 
 def batch_numbers(rows: DataFrame, size: int, order: list[Column]) -> DataFrame:
-    """The batch of each row; candidates that go to a judge are capped, so one window does."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    """The batch of each row, in the given order."""
+    return numbered(rows, order).withColumn("batch", F.floor((F.col("n") - 1) / size).cast("long")).drop("n")
 
 
 def n_pairs(source: DataFrame, target: DataFrame) -> DataFrame:

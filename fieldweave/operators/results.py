@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.formats import matching_basis, percent
 from .candidates import one_to_one
 from .judge import layer, with_fields
+from .numbering import numbered
 
 #: Headers of the results sheet and of the tier sheets, in order.
 SHEET = {
@@ -141,8 +142,6 @@ def judge_counters(judged: DataFrame) -> DataFrame:
 
 
 def running_success(outcomes: DataFrame, order: str = "seq", every: int = 5) -> DataFrame:
-    """(seq, ok) with the running success rate, at every ``every``-th row. Outcomes of one
-    capped judge run, so one window does."""
-    so_far = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = outcomes.select(order, F.row_number().over(Window.orderBy(order)).alias("n"), F.sum(F.col("ok").cast("int")).over(so_far).alias("n_ok"))
+    """(seq, ok) with the running success rate, at every ``every``-th row."""
+    rows = numbered(outcomes.select(order, "ok"), [order], "ok").select(order, F.col("n").cast("int").alias("n"), F.col("n_total").alias("n_ok"))
     return rows.where(F.col("n") % every == 0).withColumn("rate", F.round(F.col("n_ok") / F.col("n"), 6))

@@ -91,6 +91,24 @@ def with_ratios(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("r", ratios.pair_ratios(*args))
 
 
+def with_bounds(pairs: DataFrame) -> DataFrame:
+    """``r`` as ``with_ratios`` names it, holding what no ratio of these lengths exceeds."""
+    bound = ratios.length_bound
+
+    def filled(a: Column, b: Column) -> Column:
+        return F.when((a != "") & (b != ""), bound(a, b)).otherwise(F.lit(0.0))
+
+    def near(a: str, b: str) -> Column:
+        return F.greatest(*[filled(_col(a, x), _col(b, "lname")) for x in ("full", "abbr")])
+
+    name, desc, lower = (bound(_col("s", "lname"), _col("t", "lname")), *(filled(_col("s", c), _col("t", c)) for c in ("desc", "ldesc")))
+    bounds = {
+        "indel_name": name, "gestalt_name": name, "gestalt_desc": desc, "gestalt_desc_lower": lower, "gestalt_type": bound(_col("s", "ltype"), _col("t", "ltype")),
+        "pinyin_st": near("s", "t"), "pinyin_ts": near("t", "s"),
+    }
+    return pairs.withColumn("r", F.struct(*[v.alias(k) for k, v in bounds.items()]))
+
+
 Part = Callable[[], Column]
 
 
@@ -137,22 +155,6 @@ def base_similarity(weights: tuple[float, float, float] = V.BASE_WEIGHTS) -> Col
     return c * base_char() + s * base_semantic() + t * base_struct()
 
 
-def within_reach(threshold: float, weights: tuple[float, float, float] = V.BASE_WEIGHTS) -> Column:
-    """False only for pairs whose base similarity stays under ``threshold`` whatever their
-    string ratios are; it needs no Python and goes before the ratios."""
-    c, s, t = checked_weights(weights)
-    bound = ratios.length_bound
-    name, desc = bound(_col("s", "lname"), _col("t", "lname")), bound(_col("s", "desc"), _col("t", "desc"))
-    near = F.greatest(*[
-        F.when((x != "") & (n != ""), bound(x, n)).otherwise(F.lit(0.0))
-        for x, n in ((_col("s", "full"), _col("t", "lname")), (_col("s", "abbr"), _col("t", "lname")), (_col("t", "full"), _col("s", "lname")), (_col("t", "abbr"), _col("s", "lname")))
-    ])
-    both_desc = (_col("s", "desc") != "") & (_col("t", "desc") != "")
-    char = 0.5 * name + 0.2 * ratios.token_jaccard(_col("s", "tokens"), _col("t", "tokens")) + 0.3 * near
-    semantic = 0.4 * F.when(both_desc, desc).otherwise(F.lit(0.0)) + 0.3 * name_in_desc() + 0.3 * one_if(both(_col("s", "m_keyword"), _col("t", "m_keyword")))
-    return c * char + s * semantic + t * base_struct() >= F.lit(threshold - 1e-9)
-
-
 def enhanced_char() -> Column:
     a, b = _col("s", "lname"), _col("t", "lname")
     mixed = (
@@ -270,7 +272,8 @@ def similarity_pairs(
     """The similarity matrix in long form: PAIR columns and ``similarity``; with a
     ``threshold`` only pairs that reach it."""
     pairs = paired(with_features(source), with_features(target), table_pairs)
-    if threshold is not None and family == "base":
-        pairs = pairs.where(within_reach(threshold, weights or V.BASE_WEIGHTS))
+    if threshold is not None:
+        # Similarities grow with each ratio, so pairs whose bounds fall short never get to Python.
+        pairs = with_bounds(pairs).where(similarity(family, weights, boost) >= F.lit(threshold - 1e-9)).drop("r")
     scored = with_ratios(pairs).select(*pair_keys(), similarity(family, weights, boost).alias("similarity"))
     return scored if threshold is None else scored.where(F.col("similarity") >= threshold)
