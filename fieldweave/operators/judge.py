@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.formats import two_decimals
 from ..sources.dictionary import first_of_name
+from ..streaming.rate_control import Rule, is_throttled, step
 
 VERDICT = "match boolean, confidence double, reason string, llm_response string, fallback boolean, parse_error boolean, is_error boolean, error_msg string"
 KEY = ["source_table", "source_field", "target_table", "target_field"]
@@ -237,11 +238,16 @@ def prompt(variant: str = "short") -> Column:
     raise ValueError(f"no prompt {variant!r}")
 
 
+#: What a status means, and seconds that the variants' clients wait for an answer.
+STATUS = {401: "API密钥无效", 403: "访问被拒绝", 429: "请求频率过高", 500: "服务器内部错误", 502: "网关错误", 503: "服务不可用"}
+TIMEOUT_S = {"base": 60.0, "fixed": 60.0, "robust": 120.0, "enhanced": 60.0, "direct": 30.0, "ultra": 45.0}
+#: Answers that another attempt cannot change.
+FINAL = tuple(f"错误：{code} " for code in (400, 401, 403, 404))
+
+
 def status_message(status: Column) -> Column:
-    return (
-        F.when(status == 401, "API密钥无效").when(status == 403, "访问被拒绝").when(status == 429, "请求频率过高").when(status == 500, "服务器内部错误")
-        .when(status == 502, "网关错误").when(status == 503, "服务不可用").otherwise(F.concat(F.lit("HTTP错误 "), status.cast("string")))
-    )
+    other = F.concat(F.lit("HTTP错误 "), status.cast("string"))
+    return F.coalesce(*[F.when(status == code, F.lit(text)) for code, text in STATUS.items()], other)
 
 
 def content(body: Column) -> Column:
@@ -314,14 +320,18 @@ def retry_delays(attempts: int = 3, base: float = 2.0) -> list[float]:
 class HttpJudge:
     """An OpenAI-compatible endpoint. ``send`` (prompt to response text) can be replaced, as
     tests do. Distinct keys are asked once, in ``clients`` tasks; the answers should be
-    written before the plan branches, as a task that runs again asks again."""
+    written before the plan branches, as a task that runs again asks again.
+
+    Calls are ``min_interval_s`` apart, or, with a ``rule_of_delay``, as far as the adaptive
+    rule says after each answer; its waits then stand before repeated attempts. An answer
+    that no attempt can change (a refused key, a malformed request) is not asked for again."""
 
     url: str = ""
     api_key: str = ""
     model: str = ""
     temperature: float = 0.1
     max_tokens: int = 1000
-    timeout_s: float = 60.0
+    timeout_s: float | None = None  # the rule's variant decides
     attempts: int = 3
     min_interval_s: float = 0.5
     clients: int = 1
@@ -330,13 +340,16 @@ class HttpJudge:
     parser: str = "strict"
     rule: str = "fixed"
     send: Callable[[str], str] | None = None
+    rule_of_delay: Rule | None = None
 
     def responses(self, rows: DataFrame) -> DataFrame:
         asked = rows.select(*KEY, prompt(self.prompt_variant).alias("prompt")).dropDuplicates(KEY)
-        ask, pause, delays, size = self.send or _sender(self), self.min_interval_s, retry_delays(self.attempts), self.batch_size
+        ask, size, adaptive = self.send or _sender(self), self.batch_size, self.rule_of_delay
+        delays = list(adaptive.retries_s[: self.attempts]) if adaptive else retry_delays(self.attempts)
+        first = adaptive.base_s if adaptive else self.min_interval_s
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            last = 0.0
+            last, pause, streak = 0.0, first, 0
             for batch in batches:
                 for at in range(0, len(batch), size):
                     part = batch.iloc[at : at + size]
@@ -346,7 +359,10 @@ class HttpJudge:
                             time.sleep(max(0.0, last + pause - time.monotonic()) + (delay + random.random() if delay else 0.0))
                             last = time.monotonic()
                             answer = ask(text)
-                            if not answer.startswith("错误："):
+                            good = not answer.startswith("错误：")
+                            if adaptive:
+                                pause, streak = step(adaptive, pause, streak, good, not good and is_throttled(answer))
+                            if good or answer.startswith(FINAL):
                                 break
                         answers.append(answer)
                     yield part[KEY].assign(response=answers)
@@ -360,7 +376,7 @@ class HttpJudge:
 def _sender(j: HttpJudge) -> Callable[[str], str]:
     url, key = f"{j.url.rstrip('/')}/chat/completions", j.api_key
     fixed = {"model": j.model, "temperature": j.temperature, "max_tokens": j.max_tokens}
-    timeout = j.timeout_s
+    timeout = j.timeout_s or TIMEOUT_S.get(j.rule, TIMEOUT_S["base"])
 
     def send(text: str) -> str:
         body = json.dumps(fixed | {"messages": [{"role": "user", "content": text}]}).encode()
@@ -371,7 +387,7 @@ def _sender(j: HttpJudge) -> Callable[[str], str]:
             said = (choice.get("message") or {}).get("content") or choice.get("text") or ""
             return said if said.strip() else "错误：空响应"
         except urllib.error.HTTPError as e:
-            return f"错误：{e.code}"
+            return f"错误：{e.code} {STATUS.get(e.code, f'HTTP错误 {e.code}')}"
         except (OSError, ValueError, KeyError, IndexError) as e:
             return f"错误：{type(e).__name__}"
 

@@ -8,6 +8,7 @@ stateful processing with checkpointed state).
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +29,16 @@ class Rule:
     retries_s: tuple[float, ...] = (2.0, 5.0, 10.0)
 
 
+_THROTTLED = "429|频率|rate"
+
+
 def throttled(error: Column) -> Column:
     """Whether a failure's text speaks of too many requests."""
-    return F.coalesce(F.lower(error).rlike("429|频率|rate"), F.lit(False))
+    return F.coalesce(F.lower(error).rlike(_THROTTLED), F.lit(False))
+
+
+def is_throttled(error: str) -> bool:
+    return re.search(_THROTTLED, error.lower()) is not None
 
 
 def step(rule: Rule, delay: float, streak: int, ok: bool, limited: bool) -> tuple[float, int]:
