@@ -221,23 +221,6 @@ e AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL
 )"""
 EDGE_ORDER = "source_table, target_table, source_field, target_field"
-GREEDY_VALUES = f"""
-WITH RECURSIVE {EDGES},
-x AS (SELECT *, lower(source_field) = lower(target_field) AS exact FROM e WHERE source_table IN ('Brand#11', 'Brand#12')),
-rest AS (
-  SELECT *, source_field AS s, target_field AS t FROM x WHERE NOT exact
-    AND source_field NOT IN (SELECT source_field FROM x WHERE exact) AND target_field NOT IN (SELECT target_field FROM x WHERE exact)
-),
-{TAKE.format(order=f"similarity DESC, {EDGE_ORDER}", edges="rest")}
-SELECT {PAIR}, similarity, exact FROM x WHERE exact UNION ALL SELECT {PAIR}, similarity, exact FROM seq JOIN take USING (k) WHERE ok"""
-ONE_TO_ONE = f"""
-WITH RECURSIVE {EDGES},
-x AS (
-  SELECT *, round(similarity, 1) AS confidence, lower(source_field) = lower(target_field) AS exact, source_table || '.' || source_field AS s, target_table || '.' || target_field AS t
-  FROM e WHERE source_table IN ('Brand#11', 'Brand#12')
-),
-{TAKE.format(order=f"confidence DESC, exact DESC, similarity DESC, {EDGE_ORDER}", edges="x")}
-SELECT {PAIR}, similarity, confidence FROM seq JOIN take USING (k) WHERE ok"""
 
 def best_pairs(threshold: float, most: int) -> str:
     return f"""tp AS (
@@ -406,8 +389,6 @@ ORACLE: dict[str, str] = {
     "exact_and_rest": f"WITH {EDGES} SELECT lower(source_field) = lower(target_field) AS exact, count(*) AS n FROM e GROUP BY ALL",
     "greedy_candidates": f"{RULED} SELECT {PAIR}, round(similarity, 6)::DOUBLE AS similarity, exact FROM ruled",
     "judge_cap": f"{RULED} SELECT {PAIR}, round(similarity, 6)::DOUBLE AS similarity, exact FROM ruled ORDER BY exact DESC, ruled.similarity DESC, so, tt, sf, tf LIMIT 4",
-    "greedy_values": GREEDY_VALUES,
-    "one_to_one_values": ONE_TO_ONE,
     **{f"fallback_{k}": fallback(k) for k in RULES},
     **{f"parse_{k}": parsed(k) for k in PARSED},
     "cache_keys": f"{PAIRS}, x AS (SELECT *, source_table || '_' || source_field || '_' || target_table || '_' || target_field AS k FROM parts WHERE base >= 0.5) "
@@ -416,6 +397,10 @@ ORACLE: dict[str, str] = {
     "status_messages": "SELECT CASE event_id % 7 WHEN 0 THEN 'API密钥无效' WHEN 1 THEN '访问被拒绝' WHEN 2 THEN '请求频率过高' WHEN 3 THEN '服务器内部错误' WHEN 4 THEN '网关错误' WHEN 5 THEN '服务不可用' ELSE 'HTTP错误 418' END AS message, count(*) AS n FROM events GROUP BY 1",
     "cache_hits": f"WITH {CACHED} SELECT event_id, cache_key, first_id FROM c JOIN h USING (cache_key)",
     "cache_misses": f"WITH {CACHED} SELECT event_id, cache_key FROM c WHERE cache_key NOT IN (SELECT cache_key FROM h)",
+    "candidates_above": f"WITH {EDGES} SELECT {PAIR}, similarity FROM e WHERE similarity > 0.5",
+    "judged_through_cache": f"WITH {CALLS}, k AS (SELECT *, 'fixed_s' || (user_id % 7) || '_' || sn || '_t' || (user_id % 5) || '_' || tn AS cache_key, user_id % 7 IN (1, 4) AS cached FROM c) "
+    "SELECT event_id, cache_key, cached, CASE WHEN cached THEN true ELSE lower(sn) = lower(tn) OR sim > 0.6 END AS \"match\", "
+    "round(CASE WHEN cached THEN 0.9 WHEN lower(sn) = lower(tn) THEN 0.95 WHEN sim > 0.8 THEN 0.8 WHEN sim > 0.6 THEN 0.7 ELSE sim END, 6)::DOUBLE AS confidence FROM k",
     "layer_counts": f"WITH {CALLS} SELECT CASE WHEN sim >= 0.7 THEN 'high' WHEN sim >= 0.4 THEN 'medium' ELSE 'low' END AS layer, count(*) AS n FROM c GROUP BY 1",
     "tier_assign": f"WITH {JUDGED} SELECT event_id, {TIER} AS confidence_category FROM j WHERE yes",
     "tier_counts": f"WITH {JUDGED}, x AS (SELECT {TIER} AS confidence_category FROM j WHERE yes) SELECT v.c AS confidence_category, count(x.confidence_category) AS n FROM (VALUES ('high'), ('medium'), ('low'), ('potential')) v(c) LEFT JOIN x ON x.confidence_category = v.c GROUP BY 1",

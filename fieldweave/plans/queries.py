@@ -221,6 +221,12 @@ def candidates_threshold(spark: SparkSession, d: str) -> DataFrame:
     return base_candidates(spark, 0.5).select(*PAIR, rounded("similarity"))
 
 
+@query
+def candidates_above(spark: SparkSession, d: str) -> DataFrame:
+    """Edges whose similarity is above 0.5; those that equal it are left out."""
+    return C.candidates(value_edges(spark, d), 0.5, above=True).select(*PAIR, "similarity")
+
+
 @query
 def candidates_of_best_pairs(spark: SparkSession, d: str) -> DataFrame:
     source, target = dictionaries(spark)
@@ -259,25 +265,12 @@ def value_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def greedy_values(spark: SparkSession, d: str) -> DataFrame:
-    edges = value_edges(spark, d).where("source_table IN ('Brand#11', 'Brand#12')")
-    return C.matching_rule(edges).select(*PAIR, "similarity", "exact")
-
-
-@query
-def one_to_one_values(spark: SparkSession, d: str) -> DataFrame:
-    edges = value_edges(spark, d).where("source_table IN ('Brand#11', 'Brand#12')")
-    judged = edges.withColumn("exact", C.is_exact()).withColumn("confidence", F.round(F.col("similarity"), 1))
-    return C.one_to_one(judged).select(*PAIR, "similarity", "confidence")
-
-
-@query
-def greedy_values_whole(spark: SparkSession, d: str) -> DataFrame:
-    """``greedy_values`` over all brands: names that other brands use compete for the same fields."""
+    """Edges of all brands: names that several brands use compete for the same fields."""
     return C.matching_rule(value_edges(spark, d)).select(*PAIR, "similarity", "exact")
 
 
 @query
-def one_to_one_values_whole(spark: SparkSession, d: str) -> DataFrame:
+def one_to_one_values(spark: SparkSession, d: str) -> DataFrame:
     judged = value_edges(spark, d).withColumn("exact", C.is_exact()).withColumn("confidence", F.round(F.col("similarity"), 1))
     return C.one_to_one(judged).select(*PAIR, "similarity", "confidence")
 
@@ -382,6 +375,30 @@ def cache_misses(spark: SparkSession, d: str) -> DataFrame:
     return c.join(held, "cache_key", "left_anti").select("event_id", "cache_key")
 
 
+@query
+def judged_through_cache(spark: SparkSession, d: str) -> DataFrame:
+    """All verdicts of a run over the events' candidates, whose cache holds those of some users."""
+    names = ["source_table", "source_field", "target_table", "target_field"]
+    rows = calls(spark, d).select(
+        "event_id", F.col("similarity"), F.concat(F.lit("s"), (F.col("user_id") % 7).cast("string")).alias("source_table"), F.col("s_name").alias("source_field"),
+        F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string")).alias("target_table"), F.col("t_name").alias("target_field"),
+        F.col("s_desc").alias("source_field_desc"), F.col("t_desc").alias("target_field_desc"),
+    )
+    held = rows.where("source_table IN ('s1', 's4')").select(*names).distinct().withColumn("cache_key", J.cache_key("fixed"))
+    held = held.withColumn("v", J.verdict(F.lit(True), F.lit(0.9), F.lit("kept"))).select("cache_key", "v.*")
+    judged, _ = J.judge_with_cache(rows, J.RuleJudge("fixed"), held, "fixed")
+    return judged.select("event_id", "cache_key", "cached", "match", F.round("confidence", 6).alias("confidence"))
+
+
+@query
+def pinyin_toned(spark: SparkSession, d: str) -> DataFrame:
+    source, target = dictionaries(spark)
+    descs = source.select("desc").union(target.select("desc")).distinct()
+    toned = descs.select("desc", pinyin(F.col("desc"), " ", toned=True).alias("toned"), pinyin(F.col("desc"), " ").alias("plain"))
+    # A reading without its marks is the plain one.
+    return toned.select("desc", "plain", (F.length("toned") == F.length("plain")).alias("as_long"), (F.col("toned") != F.col("plain")).alias("marked"))
+
+
 def judged_calls(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts for the statistics, tables and fields from the events' users."""
     c = calls(spark, d)

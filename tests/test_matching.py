@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,10 +8,12 @@ from fieldweave.operators import candidates as C
 from fieldweave.operators import judge as J
 from fieldweave.operators import results as R
 from fieldweave.operators import scoring as S
+from fieldweave.operators.numbering import numbered
 from fieldweave.plans import matching as M
 from fieldweave.plans.samples import SOURCE, TARGET
 from fieldweave.sources import config, store, xlsx
 from fieldweave.sources import dictionary as D
+from fieldweave.streaming.rate_control import Rule
 
 #: Base similarity of the sample dictionaries, tokens split on underscores.
 GOLDEN = {
@@ -213,3 +216,40 @@ def test_command_line(spark, tmp_path, capsys):
     for preset, extra in (("base", []), ("stable", ["--auto", "--max-llm", "5"])):
         assert main(["--source", str(tmp_path / "s.xlsx"), "--target", str(tmp_path / "t.xlsx"), "--output", str(tmp_path / preset), "--preset", preset, *extra]) == 0
     assert "candidates" in capsys.readouterr().out
+
+
+def test_bounds_lose_no_pair(spark):
+    """No pair at or above a threshold falls to the length bounds, in either family."""
+    source, target = (D.prepare(D.from_rows(spark, rows)) for rows in (SOURCE, TARGET))
+    for family in ("base", "enhanced"):
+        every = {tuple(r[c] for c in S.PAIR): r.similarity for r in S.similarity_pairs(source, target, family).collect()}
+        for least in (0.3, 0.5, 0.7):
+            got = S.similarity_pairs(source, target, family, threshold=least).collect()
+            assert {tuple(r[c] for c in S.PAIR) for r in got} == {k for k, v in every.items() if v >= least}
+
+
+def test_numbers_and_totals(spark):
+    rows = [(i * 37 % 101, i % 3 == 0) for i in range(101)]
+    out = {r.seq: (r.n, r.n_total) for r in numbered(spark.createDataFrame(rows, "seq int, ok boolean").repartition(5), ["seq"], "ok").collect()}
+    ordered = sorted(rows)
+    assert out == {s: (k + 1, sum(ok for _, ok in ordered[: k + 1])) for k, (s, _) in enumerate(ordered)}
+    assert numbered(spark.createDataFrame([], "seq int"), ["seq"]).count() == 0
+
+
+def test_endpoint_follows_the_adaptive_rule(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def send(text):
+        with open(log, "a") as f:
+            print(time.monotonic(), text[-1:], file=f)
+        n = sum(1 for _ in open(log))
+        return "错误：429 请求频率过高" if n == 1 else "错误：401 API密钥无效" if n == 3 else "判断：是\n置信度：0.9\n理由：x"
+
+    rule = Rule(base_s=0.05, least_s=0.01, retries_s=(0.0, 0.0))
+    judge = J.HttpJudge(send=send, attempts=2, rule_of_delay=rule)
+    rows = spark.createDataFrame([(f"s{i}", "f", "t", "g", 0.5, "a", "b", "x", "y") for i in range(4)], "source_table string, source_field string, target_table string, target_field string, similarity double, source_field_desc string, target_field_desc string, source_field_type string, target_field_type string")
+    rows = rows.coalesce(1)
+    answers = sorted(r.response for r in judge.responses(rows).collect())
+    assert [a.startswith("错误：401") for a in answers].count(True) == 1 and len(answers) == 4
+    at = [float(x.split()[0]) for x in open(log)]
+    assert len(at) == 5 and at[2] - at[1] >= 0.09
