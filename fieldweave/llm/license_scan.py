@@ -30,6 +30,7 @@ import json
 import math
 import random
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,9 +135,15 @@ ANCHORS = (
     "licen", "rights reserved", "public domain", "permission", "redistribut", "gpl", "copyright", "apache", "bsd", "cc by", "cc-by", "cc0", "creative commons", "mozilla",
     "mpl", "spdx", "asl 2", "proprietary", "isc terms", "mit terms", "under mit", "warrant",
 )
+#: Words of the templates that many texts hold; a search for templates starts from others.
+FREQUENT = frozenset(
+    "a all an and any are as at be by for from in is it its may of on one or that the this to was were which with you under work use used file free public general "
+    "above law writing source code list rights author person time possible extent condition conditions subject form either without software program received along "
+    "later option terms following part made provided fee purpose copy copies sell not no mit version have your must above notice can more".split()
+)
 #: Unigrams that say nothing.
 STOP = frozenset("a all an and any are as at be by for from in is it its may of on one or that the this to was were which with you".split())
-SPREAD, EPOCHS, RATE, DECAY = 14, 6, 0.5, 1e-3
+SPREAD, EPOCHS, RATE, DECAY, LEAST_WEIGHT = 14, 6, 0.5, 1e-3, 0.25
 CONFIRM, SURE = 0.8, 0.97
 N_GRAMS = 3
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -220,6 +227,11 @@ class Model:
                         g = d + DECAY * self.weights[i][k]
                         square[i][k] += g * g
                         self.weights[i][k] -= RATE * g / math.sqrt(square[i][k])
+        # Four decimals, and no n-gram that moves nothing: the weights travel in the plan.
+        self.weights = [[round(v, 4) for v in w] for w in self.weights]
+        live = [g for g in vocabulary if max(map(abs, self.weights[self.grams[g]])) >= LEAST_WEIGHT]
+        self.weights = [self.weights[self.grams[g]] for g in live]
+        self.grams = {g: i for i, g in enumerate(live)}
         self.thresholds = self._calibrated(wordings(CALIBRATE, seed))
 
     def features(self, text: str) -> list[int]:
@@ -291,8 +303,35 @@ def _any_of(text: Column, parts: list[str] | tuple[str, ...]) -> Column:
     return functools.reduce(lambda a, b: a | b, (text.contains(p) for p in parts))
 
 
-def _found(words: Column, template: tuple[str, ...]) -> Column:
-    return F.size(F.array_intersect(words, F.array(*map(F.lit, template)))) / F.lit(len(template))
+def _table(rows: list[dict], schema: str) -> Column:
+    """A constant array of structs; it is folded into one value of the plan."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+
+
+@dataclass(frozen=True)
+class Template:
+    """A template's words, its distinct ones, how many of those make it held, and words of
+    which at least one is there if it is held: any len - need + 1 of them."""
+
+    family: str
+    all: list[str]
+    words: list[str]
+    need: int
+    some: list[str]
+
+
+@functools.cache
+def templates() -> tuple[Template, ...]:
+    out, chosen = [], set()
+    for family, texts in TEMPLATES.items():
+        for words in map(word_list, texts):
+            distinct = list(dict.fromkeys(words))
+            need = next(m for m in range(len(distinct) + 1) if m / len(distinct) >= CONFIRM)
+            # Rare words first, and those that other templates have chosen: few are looked up.
+            some = sorted(distinct, key=lambda w: (w in FREQUENT or len(w) < 3, w not in chosen, -len(w)))[: len(distinct) - need + 1]
+            chosen.update(some)
+            out.append(Template(family, words, distinct, need, some))
+    return tuple(out)
 
 
 def proposals(docs: DataFrame) -> DataFrame:
@@ -319,34 +358,21 @@ def _joined(docs: DataFrame) -> DataFrame:
     and lose that without their first or last line; lines without words do not count. The
     last one begins within the template's length from the first one's end. ``paragraph``
     is below 0."""
-    known = [word_list(t) for ts in TEMPLATES.values() for t in ts]
-    sets = [list(dict.fromkeys(ws)) for ws in known]
-    needs = [next(m for m in range(len(ws) + 1) if m / len(ws) >= CONFIRM) for ws in sets]
-
-    def some_of(ws: list[str], need: int) -> list[str]:
-        # One of any len - need + 1 words is there if need words are.
-        return sorted(ws, key=len, reverse=True)[: len(ws) - need + 1]
-
-    every = sorted(set().union(*(some_of(ws, need) for ws, need in zip(sets, needs, strict=True))))
-
-    def held(x: Column) -> Column:
-        each = []
-        for t, (ws, need) in enumerate(zip(sets, needs, strict=True)):
-            one = _any_of(x, some_of(ws, need))
-            count = functools.reduce(lambda a, b: a + b, (x.contains(w).cast("int") for w in ws))
-            each.append(F.when(F.when(one, count).otherwise(0) >= need, F.lit(t)))
-        return F.filter(F.array(*each), lambda t: t.isNotNull())
-
+    some = sorted({w for t in templates() for w in t.some})
+    table = _table([{"ws": t.words, "need": t.need, "most": len(t.all), "some": t.some} for t in templates()], "ws: array<string>, need: int, most: int, some: array<string>")
     # Texts that hold enough of a template's words anywhere are cut into lines of words.
     lowered = F.replace(F.lower("text"), F.lit("licence"), F.lit("license"))
     wrapped = docs.where(F.col("text").contains("\n")).select("row", lowered.alias("text"))
-    wrapped = wrapped.where(let(F.col("text"), lambda x: _any_of(x, every)))
-    wrapped = wrapped.select("row", "text", let(F.col("text"), held).alias("ts"))
+    wrapped = wrapped.where(let(F.col("text"), lambda x: _any_of(x, some)))
+
+    def held(x: Column, t: Column) -> Column:
+        return F.exists(t["some"], lambda w: x.contains(w)) & (F.size(F.filter(t["ws"], lambda w: x.contains(w))) >= t["need"])
+
+    wrapped = wrapped.select("row", "text", let(F.col("text"), lambda x: F.filter(table, lambda t: held(x, t))).alias("ts"))
     cut = wrapped.where(F.size("ts") > 0).dropDuplicates(["row"]).select(
         "row", F.filter(F.transform(lines(F.col("text")), _words), lambda ws: F.size(ws) > 0).alias("ls"), "ts"
     )
-    table = F.array(*[F.struct(F.array(*map(F.lit, ws)).alias("ws"), F.lit(n).alias("need"), F.lit(len(k)).alias("most")) for ws, n, k in zip(sets, needs, known, strict=True)])
-    of = cut.where(F.size("ls") > 1).select("row", "ls", F.explode("ts").alias("t")).withColumn("t", F.get(table, F.col("t")))
+    of = cut.where(F.size("ls") > 1).select("row", "ls", F.explode("ts").alias("t"))
     ls, n = F.col("ls"), F.size("ls")
 
     def part(i: Column, count: Column) -> Column:
@@ -380,22 +406,26 @@ def classify(found: DataFrame) -> DataFrame:
     each = found.select("row", "paragraph", F.explode(let(F.col("words"), joined)).alias("gram")).join(weights, "gram")
     # Sums are of the model's own n-grams only, a bounded number for each paragraph.
     sums = each.groupBy("row", "paragraph").agg(*[(F.sum(F.get("w", k)) + F.lit(m.bias[k])).alias(f"z{k}") for k in range(len(m.families))])
-    z = [F.col(f"z{k}") for k in range(len(m.families))]
-    e = [F.exp(v - F.greatest(*z)) for v in z]
-    total = functools.reduce(lambda a, b: a + b, e)
-    named = F.array(*[F.struct((e[k] / total).alias("p"), F.lit(-k).alias("k"), F.lit(f).alias("family"), F.lit(float(t)).alias("least")) for k, (f, t) in enumerate(zip(m.families, [*m.thresholds, 0.0], strict=True))])
-    best = sums.select("row", "paragraph", F.array_max(named).alias("b"))
+    z = F.array(*[F.col(f"z{k}") for k in range(len(m.families))])
+    e = let(z, lambda a: let(F.array_max(a), lambda top: F.transform(a, lambda v: F.exp(v - top))))
+    shares = let(e, lambda a: let(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), lambda total: F.transform(a, lambda v: v / total)))
+    best = sums.select("row", "paragraph", F.array_max(F.transform(shares, lambda p, i: F.struct(p.alias("p"), (-i).alias("k")))).alias("b"))
+    family, least = (F.get(F.array(*map(F.lit, x)), -F.col("b.k")) for x in (m.families, [*map(float, m.thresholds), 0.0]))
     scored = found.join(best, ["row", "paragraph"], "left").withColumn(
-        "family", F.when(F.col("b.p") >= F.col("b.least"), F.col("b.family")).otherwise(F.lit(UNKNOWN))
+        "family", F.when(F.col("b.p") >= least, family).otherwise(F.lit(UNKNOWN))
     ).withColumn("joined", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
-    contained, named = F.lit(None).cast("double"), F.lit(False)
-    for family, texts in TEMPLATES.items():
-        of = F.greatest(*[_found(F.col("words"), tuple(dict.fromkeys(word_list(t)))) for t in texts], F.lit(0.0))
-        contained = F.when(F.col("family") == family, of).otherwise(contained)
-        named = F.when(F.col("family") == family, _any_of(F.col("joined"), [f" {name} " for name in NAMES[family]])).otherwise(named)
+    held = _table([{"family": t.family, "ws": t.words} for t in templates()], "family: string, ws: array<string>")
+    names = _table([{"family": f, "name": f" {n} "} for f, ns in NAMES.items() for n in ns], "family: string, name: string")
+
+    def share(family: Column, words: Column) -> Column:
+        own = F.filter(held, lambda t: t["family"] == family)
+        return F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(words, t["ws"])) / F.size(t["ws"])))
+
+    contained = let(F.struct("family", "words"), lambda x: share(x["family"], x["words"]))
+    named = let(F.struct("family", "joined"), lambda x: F.exists(names, lambda n: (n["family"] == x["family"]) & x["joined"].contains(n["name"])))
     return scored.select(
         "row", "paragraph", "family", F.coalesce("b.p", F.lit(0.0)).alias("probability"), contained.alias("containment"),
-        ((F.col("family") != UNKNOWN) & (F.coalesce(contained >= F.lit(CONFIRM), F.lit(False)) | F.coalesce(named, F.lit(False)))).alias("confirmed"),
+        ((F.col("family") != UNKNOWN) & (F.coalesce(contained >= F.lit(CONFIRM), F.lit(False)) | named)).alias("confirmed"),
     )
 
 
