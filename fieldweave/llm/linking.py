@@ -9,6 +9,8 @@ verified too. A pair inside a component is never formed.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -109,10 +111,10 @@ def linked_components(
     pairs that cannot be linked if those are all their keys. In each of some rounds a node
     is compared with the pivot of another component that it shares most keys with. The
     counts are of some keys only, so what they rule out is left to the pairs across
-    components; the rounds make those pairs few, and leave out none. ``sketches`` (node,
-    sketch) is for keys that unlike nodes share in numbers: bit i of a node's sketch is set
-    if any of its n elements falls into slot i of 64. Sketches differ in no more bits than
-    sets in elements, so pairs that differ in too many are no links and are not formed.
+    components; the rounds make those pairs few, and leave out none. ``sketches`` (node and
+    long columns, the words of a bit set) is for keys that unlike nodes share in numbers: bit
+    i is set if any of the node's n elements falls into slot i. Sketches differ in no more
+    bits than sets in elements, so pairs that differ in too many are no links and are not formed.
     """
     stars, left, tried, links, found = shared, None, None, None, None
     for turn in range(1, ROUNDS + 1):
@@ -144,7 +146,8 @@ def linked_components(
     near = (100 * F.col("x.n") >= PERCENT * F.col("y.n")) & (100 * F.col("y.n") >= PERCENT * F.col("x.n"))
     if sketches is not None:
         # A link's symmetric difference is at most (100 - PERCENT) / (100 + PERCENT) of n + m.
-        apart = F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch")))
+        words = [c for c in sketches.columns if c != "node"]
+        apart = reduce(add, (F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in words))
         near &= (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("x.n") + F.col("y.n"))
     # From their first common element on, both nodes have the whole overlap of a link left.
     ample = ((100 + PERCENT) * (F.col("x.n") - F.col("x.pos")) >= size) & ((100 + PERCENT) * (F.col("y.n") - F.col("y.pos")) >= size)

@@ -14,7 +14,8 @@ counts for (pivot, document) pairs: linear in the block. Each document is compar
 its best pivot, links join into components, and in some rounds new pivots are drawn. The
 blocks that then still hold several components give the pairs across them; a pair whose
 remaining n-grams could no longer reach the overlap of a link is discarded, the others are
-compared too. Pairs inside a component need no comparison, so large groups of copies never
+compared too, but those whose 1024-bit sketches differ in more bits than the sets of a link
+can (exact as well). Pairs inside a component need no comparison, so large groups of copies never
 expand into pairs, and no link between components is lost.
 
 Documents with equal shingle sets form a class known by its least doc_id; the join runs
@@ -44,6 +45,8 @@ from .slices import map_slices
 #: Documents that make an n-gram widespread, and the most such n-grams that are ordered by
 #: count (the rest go by hash: the order is a matter of speed, any order gives all links).
 HOT_DOCS, HOT_MOST = 8, 1_000_000
+#: Words of 64 bits in a document's sketch.
+SKETCH = [f"sketch_{i}" for i in range(16)]
 #: n-grams that are counted together in a task.
 COUNT_CHUNK = 1 << 20
 
@@ -134,11 +137,20 @@ def _frame(docs: list, rows: list) -> pd.DataFrame:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each document's n-grams, whole (64 bits) and cut to their low 16 bits."""
+    """Each document's n-grams, whole (64 bits) and cut to their low 16 bits, and a sketch:
+    one bit for each slot that an n-gram falls into by its highest bits."""
     for batch in batches:
         ids = batch["doc_id"].to_numpy()
-        out = [(ids[i], np.sort(s.astype(np.uint16)).tobytes(), s.tobytes()) for i, s in shingle_sets(batch["text"].tolist())]
-        yield pd.DataFrame(out, columns=["node", "low", "grams"])
+        out = [(ids[i], np.sort(s.astype(np.uint16)).tobytes(), s.tobytes(), *sketch(s)) for i, s in shingle_sets(batch["text"].tolist())]
+        yield pd.DataFrame(out, columns=["node", "low", "grams", *SKETCH])
+
+
+def sketch(s: np.ndarray) -> list[int]:
+    """The set's bits, as the longs of ``SKETCH``."""
+    slots = 64 * len(SKETCH)
+    bits = np.zeros(slots, dtype=bool)
+    bits[(s >> _U(64 - (slots.bit_length() - 1))).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64).tolist()
 
 
 def at_most(a: np.ndarray, b: np.ndarray) -> int:
@@ -224,10 +236,11 @@ def jaccard_components(docs: DataFrame, scratch: Scratch | None = None) -> DataF
     # The sets of all documents that share a block, made once for all comparisons.
     involved = scratch.keep(shared.select(F.col("node").alias("doc_id")).distinct(), "involved")
     n = involved.count()
-    sets = scratch.keep(map_slices(texts.join(small(involved, n), "doc_id", "left_semi"), _sets, "node long, low binary, grams binary"), "sets")
+    schema = "node long, low binary, grams binary, " + ", ".join(f"{c} long" for c in SKETCH)
+    sets = scratch.keep(map_slices(texts.join(small(involved, n), "doc_id", "left_semi"), _sets, schema), "sets")
     if sets.count() > n:  # rows that repeat a doc_id
-        sets = scratch.keep(sets.groupBy("node").agg(F.min_by(F.struct("low", "grams"), "grams").alias("s")).select("node", "s.low", "s.grams"), "sets")
-    found = linked_components(shared, lambda pairs: _verify(pairs, sets, scratch), scratch, enough)
+        sets = scratch.keep(sets.groupBy("node").agg(F.min_by(F.struct("low", "grams", *SKETCH), "grams").alias("s")).select("node", "s.*"), "sets")
+    found = linked_components(shared, lambda pairs: _verify(pairs, sets, scratch), scratch, enough, sets.select("node", *SKETCH))
     scratch.close(members, found)
     frequent.destroy()
     named = (

@@ -55,6 +55,14 @@ def test_cut_sets_bound_the_overlap(a, b):
     assert len(a & b) <= ngram_join.at_most(cut(a), cut(b)) <= min(len(a), len(b))
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=300))
+@settings(max_examples=100, deadline=None)
+def test_sketches_differ_no_more_than_sets(both, a, b):
+    x, y = (ngram_join.sketch(np.array(sorted(both | s), dtype=np.uint64)) for s in (a, b))
+    assert len(x) == len(ngram_join.SKETCH)
+    assert sum(((u ^ v) & (2**64 - 1)).bit_count() for u, v in zip(x, y, strict=True)) <= len((both | a) ^ (both | b))
+
+
 def near_copies(seed=3, n=160):
     """Texts with exact copies, copies at every distance, a passage in many, and loners."""
     rng = random.Random(seed)
