@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 
 def two_decimals(x: Column) -> Column:
-    return F.format_number(x, 2)
+    """'1234.56', ties to even; digits are not grouped."""
+    return F.translate(F.format_number(x, 2), ",", "")
 
 
 def percent(part: Column, whole: Column) -> Column:
     """'12.34%' of two counts; null where the whole is not positive."""
-    return F.when(whole > 0, F.concat(F.format_number(100.0 * part / whole, 2), F.lit("%")))
+    return F.when(whole > 0, F.concat(two_decimals(100.0 * part / whole), F.lit("%")))
 
 
 def squeezed(text: Column) -> Column:
