@@ -38,6 +38,9 @@ WINDOW, MIN_WORDS, MIN_RUN = 14, 6, 18
 RECALL, ROWS = 0.98, 2
 #: Slots of a task's table of the sets that it has given already.
 SEEN = 1 << 18
+#: Words of 64 bits in a set's sketch. Near copies just below a link differ in a shingle or two
+#: too many; in few slots, so many of these fall on others' bits that the pair passes.
+SKETCH = [f"sketch_{i}" for i in range(16)]
 
 _U = np.uint64
 
@@ -164,14 +167,27 @@ def _bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"key": key.view(np.int64), "node": nodes.view(np.int64), "n": p.n[first].astype(np.int32)})
 
 
+def sketches(p: Paragraphs) -> np.ndarray:
+    """Each paragraph's set as the longs of ``SKETCH``: one bit for each slot that a shingle
+    falls into by its highest bits."""
+    slots = 64 * len(SKETCH)
+    which = np.repeat(np.arange(len(p.offset)), np.diff(np.append(p.offset, len(p.run))))
+    bits = np.zeros((len(p.offset), slots), dtype=bool)
+    bits[which, (p.run >> _U(64 - (slots.bit_length() - 1))).astype(np.int64)] = True
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     once = _Once()
     for batch in batches:
         for p in paragraphs(batch["text"].tolist()):
             nodes, first = once(p)
             ends = np.append(p.offset[1:], len(p.run))
-            sketch = np.bitwise_or.reduceat(_U(1) << (p.run >> _U(58)), p.offset)[first]
-            yield pd.DataFrame({"node": nodes.view(np.int64), "sketch": sketch.view(np.int64), "grams": [np.unique(p.run[p.offset[i] : ends[i]]).tobytes() for i in first]})
+            words = dict(zip(SKETCH, sketches(p)[first].T, strict=True))
+            yield pd.DataFrame({"node": nodes.view(np.int64), **words, "grams": [np.unique(p.run[p.offset[i] : ends[i]]).tobytes() for i in first]})
+
+
+SETS = "node long, " + "".join(f"{c} long, " for c in SKETCH) + "grams binary"
 
 
 def _overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -209,9 +225,9 @@ def paragraph_clusters(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     # Each involved set, from the least document that holds it.
     homes = scratch.keep(nodes.where("involved").select(F.col("lo").alias("doc_id")).distinct(), "homes")
     source = texts.join(small(homes, homes.count()), "doc_id", "left_semi")
-    sets = map_slices(source, _sets, "node long, sketch long, grams binary").join(nodes.where("involved"), "node", "left_semi")
+    sets = map_slices(source, _sets, SETS).join(nodes.where("involved"), "node", "left_semi")
     sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
-    found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch, sketches=sets.select("node", "sketch"))
+    found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch, sketches=sets.select("node", *SKETCH))
     clusters = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster_id"), "lo", "hi")
     clusters = scratch.keep(clusters, "clusters")
     scratch.close(parts, clusters)

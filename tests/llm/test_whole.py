@@ -56,6 +56,25 @@ def test_all_near_equal_paragraphs_of_a_band_are_linked(spark, monkeypatch):
     assert max(n for _, n in clusters) == max(n for _, n, _ in expected)
 
 
+def test_hardly_any_pair_across_components_is_formed_but_links(spark, monkeypatch):
+    """A long paragraph with another word near its end in each text: four shingles of two sets
+    differ, two may. In 64 slots, so many fall on others' bits that a part of all pairs passes."""
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(20_000)]
+    p = next(passages.paragraphs([" ".join(words)]))
+    longest = (p.end - p.start).argmax()
+    line = words[p.start[longest] : p.end[longest]]
+    texts = [" ".join([*line[:-2], "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)), line[-1]]) for _ in range(200)]
+    p = next(passages.paragraphs(texts))
+    sets = {node: set(p.run[a:b].tolist()) for node, a, b in zip(p.node, p.offset, [*p.offset[1:], len(p.run)], strict=True)}
+    links = sum(100 * len(x & y) >= 75 * len(x | y) for x, y in itertools.combinations(sets.values(), 2))
+
+    formed, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *a: (out := keep(self, df, name, *a), formed.append(out.count()) if name == "across" else None)[0])
+    passages.paragraph_clusters(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark, "test"))
+    assert len(formed) == 1 and formed[0] <= links + 100
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_links_of_all_paragraphs(spark, sf):
     """Links of the query's clusters against an exact join of all paragraphs, and its rows
