@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,24 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+#: Bytes of rows that cross to Python together. A batch stands outside the heap, twice while its
+#: buffers grow, and again in the worker; Spark's own bound of 64 MB lets texts and sets fill it.
+BATCH_BYTES = 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that are run inside cross to Python in batches of ``BATCH_BYTES`` at most, or of
+    what the session sets if that is less."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, now = spark.conf.get(name), spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    spark.conf.set(name, min(now, BATCH_BYTES) if now > 0 else BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables of one run. ``keep`` writes one, ``free`` deletes those no longer read, and
     ``close`` all but the given ones, which the run's result still reads."""
@@ -49,7 +69,8 @@ class Scratch:
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(path)
+        with small_batches(self.spark):
+            writer.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         self.kept.append(out)

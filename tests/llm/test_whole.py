@@ -5,10 +5,11 @@ import itertools
 import random
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from fieldweave.llm import license_scan, ngram_join, passages
-from fieldweave.sources.shared import Scratch
+from fieldweave.sources.shared import BATCH_BYTES, Scratch
 
 from .edge import PROSE, edge_docs
 from .test_arrow import groups
@@ -160,3 +161,18 @@ def test_wrapped_notices_and_short_names(spark):
     rows = list(enumerate(WRAPPED))
     got = {r.doc_id: r.license for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(WRAPPED.values()))
+
+
+def test_wide_rows_cross_to_python_in_small_batches(spark):
+    """What an executor holds outside its heap is bounded by bytes; the session's setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"size": [b.nbytes]})
+
+    wide = spark.range(0, 6000, 1, 1).selectExpr("repeat('x', 3000) AS text").mapInArrow(sizes, "size long")
+    rows = [r.size for r in Scratch(spark, "test").keep(wide, "wide").collect()]
+    assert sum(rows) >= 18_000_000 and max(rows) <= BATCH_BYTES + 100_000
+    assert spark.conf.get(name) == before
