@@ -1,7 +1,8 @@
 """Candidate pairs from blocks, verified until no link between components is missing.
 
 A block holds the nodes that share a key. Its rows are swept against a pivot: linear in
-the block, whatever its size. Verified links join into components, and
+the block, whatever its size. Where most keys are of one node, the rows cross as arrays in
+buckets of keys, and only the others become rows. Verified links join into components, and
 the blocks that still hold several components give the pairs across them, which are
 verified too. A pair inside a component is never formed.
 """
@@ -19,11 +20,16 @@ from pyspark.sql import functions as F
 
 from .components import components
 from ..sources.shared import Scratch, partitions
+from .slices import map_slices
 
 #: A link: 100 * intersection >= PERCENT * union; sizes then differ by no more either.
 PERCENT = 75
 
 
+#: Rows that a task packs together, rows of a bucket, and how many times as many a worker holds.
+PACK, BUCKET, OVERFULL = 1 << 19, 1 << 19, 4
+
+
 #: Star rounds before the pairs across components.
 ROUNDS = 4
 
@@ -98,6 +104,99 @@ def blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(_swept(rows, 0).drop("c"), "blocks")
 
 
+def pack(batches: Iterator[pd.DataFrame], buckets: int) -> Iterator[pd.DataFrame]:
+    """Rows (key, node, n) as arrays of up to PACK rows, cut into ``buckets`` ranges of keys."""
+    held, size = [], 0
+
+    def packed() -> pd.DataFrame:
+        keys, nodes, ns = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(keys)
+        keys, nodes, ns = keys[order], nodes[order], ns[order]
+        # The highest 32 bits of a key, as a share of their range.
+        bucket = ((keys >> 32) + (1 << 31)) * buckets >> 32
+        at = np.flatnonzero(_changes(bucket)).tolist()
+        spans = list(zip(at, [*at[1:], len(keys)], strict=True))
+        return pd.DataFrame({"bucket": bucket[at], **{c: [x[a:b].tobytes() for a, b in spans] for c, x in (("keys", keys), ("nodes", nodes), ("ns", ns))}})
+
+    for batch in batches:
+        held.append((batch["key"].to_numpy(np.int64), batch["node"].to_numpy(np.int64), batch["n"].to_numpy(np.int32)))
+        size += len(batch)
+        if size >= PACK:
+            yield packed()
+            held, size = [], 0
+    if size:
+        yield packed()
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it; the first one does."""
+    return np.concatenate([[True], x[1:] != x[:-1]])[: len(x)]
+
+
+def sweep_bucket(keys: np.ndarray, nodes: np.ndarray, ns: np.ndarray) -> pd.DataFrame:
+    """The rows of keys with two nodes or more, with their pivots: as ``sweep``, with the
+    nodes' own order (they are hashes) and each node a component of its own."""
+    order = np.argsort(keys)
+    other = _changes(keys[order])
+    at = order[~other | ~np.append(other[1:], True)[: len(other)]]
+    at = at[np.lexsort((nodes[at], keys[at]))]
+    key, node, n = keys[at], nodes[at], ns[at].astype(np.int64)
+    fresh = _changes(key) | _changes(node)
+    key, node, n = key[fresh], node[fresh], n[fresh]
+    new = _changes(key)
+    several = ~new | ~np.append(new[1:], True)[: len(new)]
+    key, node, n = key[several], node[several], n[several]
+    starts = np.flatnonzero(_changes(key))
+    first = np.repeat(starts, np.diff(np.append(starts, len(key))))
+    near = (100 * n[first] >= PERCENT * n) & (100 * n >= PERCENT * n[first])
+    rows = {"key": key, "node": node, "n": n, "pos": 0, "pivot": np.where(near, node[first], node), "pivot_n": np.where(near, n[first], n)}
+    return pd.DataFrame({**rows, "swept": True})
+
+
+def sweep_packed(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
+    """The swept rows of packed rows grouped by bucket. A bucket of more than ``most`` rows
+    is not held: its rows are given as they are, not swept."""
+    held, size, at = [], 0, None
+
+    def arrays() -> list[np.ndarray]:
+        return [np.concatenate([np.frombuffer(row[i], t) for row in held]) for i, t in enumerate((np.int64, np.int64, np.int32))]
+
+    def raw() -> pd.DataFrame:
+        key, node, n = arrays()
+        return pd.DataFrame({"key": key, "node": node, "n": n, "pos": 0, "pivot": node, "pivot_n": n, "swept": False})
+
+    for batch in batches:
+        for bucket, *row in zip(*(batch[c] for c in ("bucket", "keys", "nodes", "ns")), strict=True):
+            if bucket != at:
+                if held:
+                    yield sweep_bucket(*arrays())
+                held, size, at = [], 0, bucket
+            held.append(row)
+            size += len(row[2]) // 4
+            if size > most:
+                yield raw()
+                held = []
+    if held:
+        yield sweep_bucket(*arrays())
+
+
+def packed_blocks(source: DataFrame, rows_of: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], count: int, scratch: Scratch) -> DataFrame:
+    """``blocks`` of the rows (key, node, n) that ``rows_of`` gives for ``source``, some
+    ``count`` of them, with keys and nodes that are hashes. Keys of a single node, most of
+    them, never become rows of a plan. Rows of buckets that a few keys fill beyond OVERFULL
+    times the usual size are sorted by the plan, which can spill."""
+    n = partitions(scratch.spark)
+    buckets = n * max(1, -(-count // (n * BUCKET)))
+    packed = map_slices(source, lambda frames: pack(rows_of(frames), buckets), "bucket long, keys binary, nodes binary, ns binary")
+    dealt = packed.repartitionById(n, (F.col("bucket") % n).cast("int")).sortWithinPartitions("bucket")
+    schema = "key long, node long, n int, pos int, pivot long, pivot_n int, swept boolean"
+    found = scratch.keep(map_slices(dealt, lambda frames: sweep_packed(frames, OVERFULL * BUCKET), schema), "buckets")
+    if not found.where("NOT swept").head(1):
+        return found.drop("swept")
+    rest = _swept(found.where("NOT swept").select("key", "node", "n"), 0).drop("c")
+    return scratch.keep(found.where("swept").drop("swept").unionByName(rest), "blocks")
+
+
 Enough = Callable[[Column, Column, Column], Column]
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .linking import PERCENT, blocks, linked_components
+from .linking import PERCENT, linked_components, packed_blocks
 from ..sources.shared import Scratch, small
 from .shingles import K, chunks, common, mix, shingle_hashes, stream, word_hashes
 from .slices import map_slices
@@ -38,6 +38,8 @@ WINDOW, MIN_WORDS, MIN_RUN = 14, 6, 18
 RECALL, ROWS = 0.98, 2
 #: Slots of a task's table of the sets that it has given already.
 SEEN = 1 << 18
+#: Power of two of the bits that tell the sets to be compared, at most.
+MARKS = 26
 #: Words of 64 bits in a set's sketch. Near copies just below a link differ in a shingle or two
 #: too many; in few slots, so many of these fall on others' bits that the pair passes.
 SKETCH = [f"sketch_{i}" for i in range(16)]
@@ -119,15 +121,21 @@ def paragraphs(texts: list[str | None]) -> Iterator[Paragraphs]:
 
 def _fingerprints(run: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and size of each paragraph's distinct set."""
-    which = np.repeat(np.arange(len(offset)), np.diff(np.append(offset, len(run))))
-    order = np.lexsort((run, which))
-    s, g = run[order], which[order]
-    fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (g[1:] != g[:-1])])
-    s, g = s[fresh], g[fresh]
-    begin = np.searchsorted(g, np.arange(len(offset)))
+    fresh = np.ones(len(run), dtype=bool)
+    order = np.argsort(run)
+    s = run[order]
+    same = np.concatenate([[False], s[1:] == s[:-1], [False]])
+    # Only shingles that occur again in these texts can repeat in a paragraph.
+    again = order[same[1:] | same[:-1]]
+    if len(again):
+        which = np.searchsorted(offset, again, "right")
+        at = np.lexsort((run[again], which))
+        again, which = again[at], which[at]
+        fresh[again[1:][(run[again[1:]] == run[again[:-1]]) & (which[1:] == which[:-1])]] = False
     with np.errstate(over="ignore"):
-        prints = mix(np.add.reduceat(mix(s + _U(0x5851F42D4C957F2D)), begin))
-    return prints, np.diff(np.append(begin, len(s)))
+        terms = np.where(fresh, mix(run + _U(0x5851F42D4C957F2D)), _U(0))
+        prints = mix(np.add.reduceat(terms, offset))
+    return prints, np.add.reduceat(fresh, offset, dtype=np.int64)
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,14 +185,47 @@ def sketches(p: Paragraphs) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class Marks:
+    """A bit set that tells whether a set can be one of those marked: every marked one is
+    found, and some others. It takes 8 MB at most, so it travels to the tasks at any size."""
+
+    def __init__(self, nodes: DataFrame, count: int):
+        self.power = min(MARKS, max(15, (32 * count).bit_length()))
+        n = F.col("node")
+        bits = nodes.select(F.explode(F.array(F.shiftrightunsigned(n, 64 - self.power), n.bitwiseAND((1 << self.power) - 1))).alias("bit"))
+        words = bits.groupBy(F.shiftright("bit", 15).alias("at")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("word"))
+        self.bits = np.zeros(1 << self.power >> 3, np.uint8)
+        for at, word in words.toLocalIterator():
+            self.bits[at << 12 : at + 1 << 12] = np.frombuffer(word, np.uint8)
+
+    def __call__(self, nodes: np.ndarray) -> np.ndarray:
+        found = np.ones(len(nodes), dtype=bool)
+        for bit in (nodes >> _U(64 - self.power), nodes & _U((1 << self.power) - 1)):
+            found &= (self.bits[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8) & 1).astype(bool)
+        return found
+
+
+def _of(p: Paragraphs, at: np.ndarray) -> Paragraphs:
+    """The paragraphs at the places ``at``."""
+    sizes = np.diff(np.append(p.offset, len(p.run)))[at]
+    offset = np.cumsum(sizes) - sizes
+    run = p.run[np.repeat(p.offset[at] - offset, sizes) + np.arange(sizes.sum())]
+    return Paragraphs(p.text[at], p.start[at], p.end[at], run, offset, p.node[at], p.n[at])
+
+
+def _sets(batches: Iterator[pd.DataFrame], marks: Marks) -> Iterator[pd.DataFrame]:
+    """The sets that ``marks`` tells, and their sketches."""
     once = _Once()
     for batch in batches:
         for p in paragraphs(batch["text"].tolist()):
             nodes, first = once(p)
-            ends = np.append(p.offset[1:], len(p.run))
-            words = dict(zip(SKETCH, sketches(p)[first].T, strict=True))
-            yield pd.DataFrame({"node": nodes.view(np.int64), **words, "grams": [np.unique(p.run[p.offset[i] : ends[i]]).tobytes() for i in first]})
+            first = first[marks(nodes)]
+            if not len(first):
+                continue
+            q = _of(p, first)
+            words = dict(zip(SKETCH, sketches(q).T, strict=True))
+            grams = [np.unique(q.run[a:b]).tobytes() for a, b in zip(q.offset, [*q.offset[1:], len(q.run)], strict=True)]
+            yield pd.DataFrame({"node": q.node.view(np.int64), **words, "grams": grams})
 
 
 SETS = "node long, " + "".join(f"{c} long, " for c in SKETCH) + "grams binary"
@@ -217,15 +258,13 @@ def paragraph_clusters(texts: DataFrame, scratch: Scratch) -> tuple[DataFrame, D
     pair, but those whose sketches rule a link out, so only what the bands miss is lost.
     """
     parts = scratch.keep(map_slices(texts, _parts, "doc_id long, start int, end int, node long"), "parts")
-    shared = blocks(map_slices(texts, _bands, "key long, node long, n int"), scratch)
+    shared = packed_blocks(texts, _bands, BANDS * parts.count(), scratch)
     involved = scratch.keep(shared.select("node").distinct().withColumn("involved", F.lit(True)), "involved")
     held = parts.groupBy("node").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     nodes = scratch.keep(held.join(involved, "node", "left").where("involved or lo < hi"), "nodes")
 
-    # Each involved set, from the least document that holds it.
-    homes = scratch.keep(nodes.where("involved").select(F.col("lo").alias("doc_id")).distinct(), "homes")
-    source = texts.join(small(homes, homes.count()), "doc_id", "left_semi")
-    sets = map_slices(source, _sets, SETS).join(nodes.where("involved"), "node", "left_semi")
+    marks = Marks(involved, involved.count())
+    sets = map_slices(texts, lambda frames: _sets(frames, marks), SETS).join(involved.select("node"), "node", "left_semi")
     sets = scratch.keep(sets.dropDuplicates(["node"]), "sets")
     found = linked_components(shared, lambda pairs: _verify(pairs, sets), scratch, sketches=sets.select("node", *SKETCH))
     clusters = nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("cluster_id"), "lo", "hi")

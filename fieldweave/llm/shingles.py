@@ -34,8 +34,6 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE = stream(1, 256)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACE = stream(2, 64)
@@ -70,11 +68,18 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buffer = np.frombuffer(b" ".join(raws) + b" ", dtype=np.uint8)
     sizes = np.fromiter((len(r) + 1 for r in raws), dtype=np.int64, count=len(raws))
     at = np.concatenate([[0], np.cumsum(sizes)])
-    solid = ~_SPACE[buffer]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
+    with np.errstate(over="ignore"):
+        solid = (buffer != 32) & (buffer - np.uint8(9) > 4)
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    if solid[0]:
+        edge = np.concatenate([[0], edge])
     start, end = edge[0::2], edge[1::2]
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_BYTE[buffer] * _power(_BASE, len(buffer)), dtype=_U)])
+        sums = np.empty(len(buffer) + 1, _U)
+        sums[0] = 0
+        codes = _BYTE.take(buffer, mode="clip", out=sums[1:])
+        codes *= _power(_BASE, len(buffer))
+        np.cumsum(codes, out=codes)
         words = mix((sums[end] - sums[start]) * _power(_INVERSE, len(buffer))[start])
     return words, np.searchsorted(start, at)
 

@@ -225,6 +225,74 @@ def test_paragraphs_against_all_pairs(spark):
     assert got <= expected and len(got) >= 0.98 * len(expected)
 
 
+def band_rows(seed=9, n=3000):
+    """Band rows: most keys of one node, some of several, one of many, some rows twice."""
+    rng = random.Random(seed)
+    long = lambda: rng.randrange(-(1 << 63), 1 << 63)
+    few, hot = [long() for _ in range(200)], long()
+    rows = [(rng.choice([hot, rng.choice(few), long(), long(), long()]), long(), rng.randint(2, 30)) for _ in range(n)]
+    return rows + rows[:300]
+
+
+def shared_rows(rows):
+    """(key, node, n) of keys with two nodes or more."""
+    nodes = collections.defaultdict(set)
+    for key, node, n in rows:
+        nodes[key].add((key, node, n))
+    return sorted(x for held in nodes.values() if len(held) > 1 for x in held)
+
+
+def test_keys_of_one_node_never_become_rows(monkeypatch):
+    monkeypatch.setattr(linking, "PACK", 500)
+    rows = band_rows()
+    frame = pd.DataFrame(rows, columns=["key", "node", "n"])
+    packed = pd.concat(list(linking.pack((frame.iloc[i : i + 170] for i in range(0, len(frame), 170)), 7))).sort_values("bucket")
+    assert set(packed["bucket"]) == set(range(7)) and len(packed) < 60
+    out = pd.concat(list(linking.sweep_packed((packed.iloc[i : i + 5] for i in range(0, len(packed), 5)), 10_000)))
+    assert out["swept"].all()
+    assert sorted(zip(out["key"], out["node"], out["n"], strict=True)) == shared_rows(rows)
+    least, size = {}, {node: n for _, node, n in rows}
+    for key, node, _ in shared_rows(rows):
+        least.setdefault(key, node)
+    for key, node, n, pivot, pivot_n in zip(out["key"], out["node"], out["n"], out["pivot"], out["pivot_n"], strict=True):
+        m = size[least[key]]
+        assert (pivot, pivot_n) == ((least[key], m) if 4 * min(n, m) >= 3 * max(n, m) else (node, n))
+    assert not len(linking.sweep_bucket(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)))
+
+
+@pytest.mark.parametrize("bucket", [1 << 19, 40])
+def test_packed_blocks_also_of_overfull_buckets(spark, monkeypatch, bucket):
+    monkeypatch.setattr(linking, "BUCKET", bucket)
+    rows = band_rows()
+    df = spark.createDataFrame(rows, "key long, node long, n int").repartition(3)
+    formed, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name, *a: (formed.append(name), keep(self, df, name, *a))[1])
+    found = linking.packed_blocks(df, lambda frames: frames, 1000, Scratch(spark, "test"))
+    assert formed == (["buckets"] if bucket > 40 else ["buckets", "blocks"])
+    got = found.collect()
+    assert found.columns == linking.blocks(df.withColumn("pos", F.lit(0)), Scratch(spark, "test")).columns
+    assert sorted((r.key, r.node, r.n) for r in got) == shared_rows(rows)
+    pivots = collections.defaultdict(set)
+    for r in got:
+        pivots[r.key] |= {r.pivot} - {r.node}
+    assert all(len(p) <= 1 for p in pivots.values()) and sum(r.pivot != r.node for r in got) > 300
+
+
+def test_only_sets_to_compare_leave_the_texts(spark):
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(400)) for _ in range(100)]
+    nodes = np.concatenate([p.node for p in passages.paragraphs(texts)]).view(np.int64)
+    wanted = sorted(set(nodes.tolist()))[::50]
+    marks = passages.Marks(spark.createDataFrame([(x,) for x in wanted], "node long"), len(wanted))
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    left = pd.concat(list(passages._sets(iter([frame]), marks)))
+    assert set(wanted) <= set(left["node"]) and len(left) < len(nodes) / 25
+    sets = {int(n): s for p in passages.paragraphs(texts) for n, s in zip(p.node.view(np.int64), np.split(p.run, p.offset[1:]), strict=True)}
+    assert all(np.frombuffer(g, np.uint64).tolist() == sorted(set(sets[n].tolist())) for n, g in zip(left["node"], left["grams"], strict=True))
+    nothing = passages.Marks(spark.createDataFrame([], "node long"), 0)
+    assert not list(passages._sets(iter([frame]), nothing))
+
+
 def test_passage_edges_and_bands(spark):
     rows = passages.digest(edge_docs(spark)).collect()
     assert {r.doc_id for r in rows} == {6, 7, 8, 12} and [r.doc_id for r in rows if not r.removed] == [6]
